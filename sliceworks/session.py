@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,15 +19,16 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "sliceworks_py.zip")
-        with zipfile.ZipFile(path, "w") as archive:
-            for where, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(where, name)
-                        archive.write(full, os.path.join("sliceworks", os.path.relpath(full, root)))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="sliceworks-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "sliceworks_py.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    archive.write(full, os.path.join("sliceworks", os.path.relpath(full, root)))
+    context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
 
 
