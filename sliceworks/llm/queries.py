@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, mixing, token_count, virtual_slots
+from . import bpe_chunks, divergence, langid, mixing, quality_crf, token_count, virtual_slots
 from .shared import table
 
 
@@ -24,6 +24,18 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -38,6 +50,9 @@ def op9_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_line_crf": op2_line_crf,
+    "op4_language_id": op4_language_id,
+    "op5_divergence_rules": op5_divergence_rules,
     "op6_token_counts": op6_token_counts,
     "op7_virtual_slots": op7_virtual_slots,
     "op9_bpe_digests": op9_bpe_digests,
