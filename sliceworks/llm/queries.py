@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, divergence, langid, mixing, quality_crf, token_count, virtual_slots
+from . import bpe_chunks, divergence, langid, mixing, quality_crf, token_count, vafile, virtual_slots
 from .shared import table
 
 
@@ -44,6 +44,10 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -55,7 +59,8 @@ QUERIES = {
     "op5_divergence_rules": op5_divergence_rules,
     "op6_token_counts": op6_token_counts,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_vafile_topk": op8_vafile_topk,
     "op9_bpe_digests": op9_bpe_digests,
 }
 
-ORACLES = {"op1_source_mix": mixing.REPORT_SQL}
+ORACLES = {"op1_source_mix": mixing.REPORT_SQL, "op8_vafile_topk": vafile.SEARCH_SQL}

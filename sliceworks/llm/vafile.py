@@ -35,7 +35,7 @@ K = 20
 EVERY = 20
 CELL = 8
 BLOCK = 4096
-STEP = 2048  # candidates compared at once
+STEP = 1024  # candidates compared at once
 SCALE = 64
 
 
@@ -125,7 +125,7 @@ def survivors(approx: DataFrame, queries: list, dims: int, k: int) -> DataFrame:
     return approx.mapInArrow(run, "query_id bigint, class_id bigint, members int, low double, high double")
 
 
-def _kth(score: str, k: int) -> F.Column:
+def _kth(score: str, k: int) -> tuple[F.Column, F.Column]:
     """For each query the score that k other vectors are sure to reach: members are counted from the largest score on, one more than k, as one may be the query's own."""
     so_far = F.sum("members").over(Window.partitionBy("query_id").orderBy(F.desc(score), "class_id"))
     return F.max(F.when(F.col("_so_far") >= k + 1, F.col(score))).over(Window.partitionBy("query_id")), so_far
@@ -135,11 +135,11 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOC
     """query_id, rank, vec_id and score of the k best of every query, the rows whose vec_id is divisible by ``every``."""
     ship(vectors.sparkSession)
     found = stash(classes(whole_vectors(vectors), k), "va-exact")
-    approx = stash(approximations(found), "va-cells")
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    approx = stash(approximations(found).repartition(spread, "class_id"), "va-cells")
     dims = found.agg(F.max(F.size("v"))).first()[0] or 0
     asked = stash(whole_vectors(vectors).filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "va-queries")
-    low, high, total = asked.agg(F.min("vec_id"), F.max("vec_id"), F.count("vec_id")).first()
-    blocks = max(1, -(-total // block))
+    blocks = max(1, -(-asked.count() // block))
     results = None
     for b in range(blocks):  # a block's queries are a bounded hash share of all
         mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
@@ -169,3 +169,13 @@ def _answer(found: DataFrame, approx: DataFrame, queries: DataFrame, dims: int,
     each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+SEARCH_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
