@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, divergence, langid, mixing, quality_crf, token_count, vafile, virtual_slots
+from . import bpe_chunks, divergence, langid, mixing, pii, quality_crf, token_count, vafile, virtual_slots
 from .shared import table
 
 
@@ -52,6 +52,10 @@ def op9_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_line_crf": op2_line_crf,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_virtual_slots": op7_virtual_slots,
     "op8_vafile_topk": op8_vafile_topk,
     "op9_bpe_digests": op9_bpe_digests,
+    "op10_weak_pii": op10_weak_pii,
 }
 
 ORACLES = {"op1_source_mix": mixing.REPORT_SQL, "op8_vafile_topk": vafile.SEARCH_SQL}
