@@ -35,6 +35,7 @@ CHUNKS_KEPT = 4_096
 LONG_WORD = 64
 SPACES = b" \t\n\r\x0b\x0c"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 _IS_SPACE = np.zeros(256, bool)
@@ -166,34 +167,45 @@ def encoded(codec: Codec, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]
         yield first, codec.encode(texts, chunked)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids (array of int) and decoded text of every row. ``tokenizer_path`` must exist on every executor."""
-
+def _coded(docs: DataFrame, tokenizer_path: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer_path)
         for batch in batches:
             for first, ids in encoded(codec, batch.column("text")):
-                lists = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(ids)).cast(pa.int64()), lists, pa.array([codec.decode(i).decode() for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                columns = [
+                    batch.column("doc_id").slice(first, len(ids)).cast(pa.int64()),
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(codec.decode(i)).hexdigest() for i in ids], pa.string()),
+                ]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" if with_ids else SCHEMA)
 
 
-def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, without moving ids out of the task."""
+def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (array of int) of every row. ``tokenizer_path`` must exist on every executor."""
+    return _coded(docs, tokenizer_path, True)
+
+
+def decode_documents(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id and the text that ``ids`` decode to, special tokens included; null ids decode to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer_path)
         for batch in batches:
-            for first, ids in encoded(codec, batch.column("text")):
-                columns = [
-                    batch.column("doc_id").slice(first, len(ids)).cast(pa.int64()),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(codec.decode(i)).hexdigest() for i in ids], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [codec.decode(np.array(i or [], "<u4").tobytes()).decode() for i in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    ship(rows.sparkSession)
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
+def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, without moving ids out of the task."""
+    return _coded(docs, tokenizer_path, False)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, divergence, langid, mixing, pii, quality_crf, token_count, vafile, virtual_slots
+from . import bpe_chunks, divergence, langid, mixing, near_dedup, pii, quality_crf, token_count, vafile, virtual_slots
 from .shared import table
 
 
@@ -28,6 +28,10 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"), words=2)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_line_crf": op2_line_crf,
+    "op3_bottom_k_dedup": op3_bottom_k_dedup,
     "op4_language_id": op4_language_id,
     "op5_divergence_rules": op5_divergence_rules,
     "op6_token_counts": op6_token_counts,
