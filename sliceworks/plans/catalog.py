@@ -1,10 +1,4 @@
-"""Registry of the queries over the driver tables and the SQL each is held against."""
+"""All queries over the driver tables, and their oracles."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import queries_accounting, queries_drift, queries_joins, queries_scalars, queries_state  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
