@@ -77,13 +77,13 @@ def _number(raw: Column, at: int, width: int) -> Column:
 
 
 def decode_header(raw: Column) -> Column:
-    """struct<magic_ok, object_id, size, data_n, parity_n, chunk, slice_index, sum_ok> of a 48-byte slice header.
+    """struct<long_enough, object_id, size, data_n, parity_n, chunk, slice_index, sum_ok> of a slice header.
 
-    Layout: magic (7 bytes), MD5 of what follows (16), id (12), size (5), data, parity, chunk size (3), index, padding.
+    Layout: magic (7 bytes), MD5 of what follows (16), id (12), size (5), data, parity, chunk size (3), index, padding (3).
     """
     return F.struct(
-        (F.length(raw) >= 48).alias("magic_ok"), F.lower(F.hex(F.substring(raw, 24, 12))).alias("object_id"), _number(raw, 36, 5).alias("size"), _number(raw, 41, 1).alias("data_n"), _number(raw, 42, 1).alias("parity_n"),
-        _number(raw, 43, 3).alias("chunk"), _number(raw, 46, 1).alias("slice_index"), (F.md5(F.substring(raw, 24, 25)) == F.lower(F.hex(F.substring(raw, 8, 16)))).alias("sum_ok"),
+        (F.length(raw) >= 48).alias("long_enough"), F.lower(F.hex(F.substring(raw, 24, 12))).alias("object_id"), _number(raw, 36, 5).alias("size"), _number(raw, 41, 1).alias("data_n"), _number(raw, 42, 1).alias("parity_n"),
+        _number(raw, 43, 3).alias("chunk"), _number(raw, 46, 1).alias("slice_index"), (F.md5(F.substring(raw, 24, 26)) == F.lower(F.hex(F.substring(raw, 8, 16)))).alias("sum_ok"),
     )
 
 
