@@ -1,18 +1,18 @@
 """Exact top-k search with vector-approximation files.
 
 Vectors become whole numbers, floor(64 x) a component. The approximation of a vector is, for each component, the cell
-of a grid it falls into (``CELL`` wide), one byte instead of eight. Three steps answer a block of queries:
+of a grid it falls into (``CELL`` wide), a number of few bits. Three steps answer a block of queries:
 
-1. Scan the approximations. A cell bounds a component from below and above, so the approximation bounds the inner
-   product with a query. Each task keeps, per query, what may still be among its k best: an upper bound not under the
-   kth largest lower bound that it has met.
-2. The kth largest lower bound over all tasks drops candidates again.
+1. Scan the approximations. The inner product of a query with the middles of the cells lies within half a cell, times
+   the sum of the query's absolute components, of the exact one: these are the bounds. The kth largest lower bound over
+   all vectors, from the k best of each task, is a threshold.
+2. Scan them again and keep what has an upper bound that reaches its query's threshold.
 3. Exact vectors are read in the order of their bounds: first the k best by upper bound; their kth exact score is a
    threshold, and of the others only those whose upper bound reaches it are read. Then the kth result is certain.
 
 Equal vectors are one class; only the k + 1 smallest ids of a class can ever be among a query's k (one may be the
 query's own), so a class of any size costs no more. Queries go out in blocks of ``BLOCK``, which bounds what is
-broadcast; every block scans the approximations once, in as many tasks as they have partitions.
+broadcast; every block scans the approximations twice, in as many tasks as they have partitions.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as filled up
 with zeros; ties go to the smaller id; a query with fewer than k candidates gets all; rows with a query's own id aren't
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from .shared import stash
 
 K = 20
 EVERY = 20
-CELL = 8
+CELL = 2
 BLOCK = 4096
 STEP = 1024  # candidates compared at once
 SCALE = 64
@@ -69,60 +70,65 @@ def _padded(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _products(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of approximations with twice the inner products of all queries (rows) and their middles: whole numbers, exact in the chosen type."""
+    dims = q.shape[1]
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            cells = _padded(part.column("cells"), dims)
+            lens = np.diff(part.column("cells").offsets.to_numpy())
+            middles = np.where(np.arange(dims)[None, :] < lens[:, None], cells * (2 * CELL) + (CELL - 1), 0)
+            small = np.abs(q).sum(1).max(initial=0) * np.abs(middles).max(initial=0) < 1 << 24
+            kind = np.float32 if small else np.float64
+            yield part, q.astype(kind) @ middles.T.astype(kind)
+
+
+def thresholds(approx: DataFrame, shared: Broadcast, k: int) -> dict[int, float]:
+    """For each query the (k + 1)th largest doubled product with middles; queries with fewer vectors have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = np.full((len(q), k + 1), -np.inf)
+        for part, twice in _products(batches, q):
+            several = np.minimum(part.column("members").to_numpy(), k + 1)
+            if several.max(initial=1) > 1:  # a class counts as often as it has members
+                twice = twice[:, np.repeat(np.arange(len(several)), several)]
+            size = min(k + 1, twice.shape[1])
+            if size:
+                largest = np.partition(twice, twice.shape[1] - size, axis=1)[:, -size:]
+                best = np.sort(np.concatenate([best, largest], axis=1), axis=1)[:, -(k + 1) :]
+        row, column = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[row, column])], ["query_id", "twice"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("twice")))
+    found = approx.mapInArrow(run, "query_id bigint, twice double").withColumn("_r", rank).filter(F.col("_r") == k + 1).collect()  # a row a query
+    return {r["query_id"]: r["twice"] for r in found}
+
+
 def survivors(approx: DataFrame, queries: list, dims: int, k: int) -> DataFrame:
-    """query_id, class_id, members, low and high: what may be among a query's k best, by bounds alone."""
-    ids = np.array([q["vec_id"] for q in queries], np.int64)
+    """query_id, class_id, members and high (the upper bound): what may be among a query's k best, by bounds alone."""
+    ids = np.array([r["vec_id"] for r in queries], np.int64)
     matrix = np.zeros((len(queries), dims))
-    for i, q in enumerate(queries):
-        matrix[i, : len(q["v"])] = q["v"]
-    shared = approx.sparkSession.sparkContext.broadcast((ids, matrix))  # BLOCK vectors at most
+    for i, r in enumerate(queries):
+        matrix[i, : len(r["v"])] = r["v"]
+    context = approx.sparkSession.sparkContext
+    shared = context.broadcast((ids, matrix))  # BLOCK vectors at most
+    sure = thresholds(approx, shared, k)
+    limits = context.broadcast(np.array([sure.get(int(i), -np.inf) for i in ids]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        best = np.full((len(q), k + 1), -np.inf)  # the largest lower bounds; one may be the query's own
-        kept: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def trim() -> None:
-            nonlocal kept, held
-            if kept:
-                qi, ci, m, lo, hi = (np.concatenate(x) for x in zip(*kept, strict=True))
-                ok = hi >= best[qi, 0]
-                kept = [(qi[ok], ci[ok], m[ok], lo[ok], hi[ok])]
-                held = int(ok.sum())
-
-        limit = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                floor = _padded(part.column("cells"), dims) * CELL
-                lens = np.diff(part.column("cells").offsets.to_numpy())
-                top = np.where(np.arange(dims)[None, :] < lens[:, None], floor + (CELL - 1), 0)
-                low = plus @ floor.T + minus @ top.T
-                high = plus @ top.T + minus @ floor.T
-                members = part.column("members").to_numpy()
-                several = np.minimum(members, k + 1)
-                # a class of several members counts as often among the largest lower bounds
-                counted = np.repeat(np.arange(len(several)), several)
-                wide = low[:, counted]
-                size = min(k + 1, wide.shape[1])
-                if size:
-                    largest = np.partition(wide, wide.shape[1] - size, axis=1)[:, -size:]
-                    best = np.sort(np.concatenate([best, largest], axis=1), axis=1)[:, -(k + 1) :]
-                qi, ci = np.nonzero(high >= best[:, :1])
-                kept.append((qi, part.column("class_id").to_numpy()[ci], members[ci], low[qi, ci], high[qi, ci]))
-                held += len(qi)
-                if held > max(1 << 20, 2 * limit):
-                    trim()
-                    limit = held
-        trim()
-        for qi, ci, m, lo, hi in kept:
-            for at in range(0, len(qi), 1 << 16):
-                s = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi[s]]), pa.array(ci[s].astype(np.int64)), pa.array(m[s].astype(np.int32)), pa.array(lo[s]), pa.array(hi[s])], ["query_id", "class_id", "members", "low", "high"])
-
-    return approx.mapInArrow(run, "query_id bigint, class_id bigint, members int, low double, high double")
+        gap = np.abs(q).sum(1) * (CELL - 1)  # doubled, of the bounds from the middle
+        floor = (limits.value - 2 * gap)[:, None]
+        for part, twice in _products(batches, q):
+            qi, ci = np.nonzero(twice >= floor)
+            high = (twice[qi, ci] + gap[qi]) / 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids[qi]), pa.array(part.column("class_id").to_numpy()[ci], pa.int64()), pa.array(part.column("members").to_numpy()[ci], pa.int32()), pa.array(high, pa.float64())], ["query_id", "class_id", "members", "high"]
+            )
+
+    return approx.mapInArrow(run, "query_id bigint, class_id bigint, members int, high double")
 
 
 def _kth(score: str, k: int) -> tuple[F.Column, F.Column]:
@@ -151,8 +157,6 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOC
 def _answer(found: DataFrame, approx: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
     rows = queries.collect()
     bounds = stash(survivors(approx, rows, dims, k), "va-bounds")
-    sure, so_far = _kth("low", k)
-    bounds = bounds.withColumn("_so_far", so_far).withColumn("_sure", F.coalesce(sure, F.lit(float("-inf")))).filter(F.col("high") >= F.col("_sure")).drop("_so_far", "_sure")
     ahead = F.sum("members").over(Window.partitionBy("query_id").orderBy(F.desc("high"), "class_id"))
     ordered = stash(bounds.withColumn("ahead", ahead - F.col("members")), "va-order")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
