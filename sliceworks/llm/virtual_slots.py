@@ -59,10 +59,10 @@ def first_map(loads: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def rebalance(old: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
-    """The next version of the map for new loads and as many shards: slots beyond a shard's fair share, and those of shards that are gone, move; the others stay."""
+    """The next version of the map for new loads and as many shards: the largest slots, as far as they lie beyond a shard's fair share, and those of shards that are gone move; the others stay."""
     now = old.select("version", "virtual_slot", "shard").join(loads, "virtual_slot")
     fair = now.agg((F.sum("bytes") / shards).alias("fair"))
-    running = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot"))
+    running = F.sum("bytes").over(Window.partitionBy("shard").orderBy("bytes", "virtual_slot"))
     marked = now.withColumn("until", running).join(F.broadcast(fair)).withColumn("stays", (F.col("shard") < shards) & (F.col("until") <= F.col("fair")))
     held = marked.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("held"))
     every = old.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(held, "shard", "left")
