@@ -7,15 +7,17 @@
    values of their sketches (for sets larger than the sketch: but for about one pair in 10^7, as the binomial tail
    has it), so under one order of all values, rarest first, they share one of the first ``kept - need + 1`` values of
    each. Only those are listed; common values are not among them unless most of a sketch is common.
-3. No list is expanded into all its pairs. Two rounds pair each node of a list with one leader of the list; then only
-   pairs that are not connected yet are made, each in the first list that its nodes share, if sizes and bit signatures
-   of the sketches allow similarity. So a large group of near copies costs its size, not its square.
+3. No list is expanded into all its pairs. Two rounds pair each node of a list with leaders of the list. What is not
+   connected then is held against large components as a whole: probes and members meet in groups of bounded size, which
+   give links alone. Only nodes of small components are paired one by one, each pair in the first list that its nodes share,
+   if sizes and bit signatures of the sketches allow similarity. So the rows that a large group of near copies makes
+   grow with its size, not its square.
 4. The union-sketch estimate (the share of the k smallest values of both sketches that are in both) drops most of what
    is left; exact intersections of the whole sets decide on the rest.
 5. Links join to components by propagating the smallest node with pointer jumping; a component is named by its smallest
    doc_id.
 
-Sets are fetched again only for nodes that are listed with another. Every step between is a written table. Nothing is
+Sets are fetched again only for nodes of pairs whose estimate is high enough. Every step between is a written table. Nothing is
 collected but counts.
 
 Cases: a null or empty text, or one without words, has the empty set and no links; a text with fewer words than a
@@ -28,19 +30,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import stash, text_runs
+from .shared import stash, text_runs, unstash
 
 WORDS = 5
 PERCENT = 80
 K = 64
 OVERLAP = 32  # values that sketches of sets larger than K share at least
-SLACK = 0.30  # the estimate may lie so far under the similarity: over 5 standard deviations
+SLACK = 0.25  # the estimate may lie so far under the similarity: 5 standard deviations
 SIGNATURE = 4  # longs
+LEADERS = 2  # a node is held against so many leaders a round; the last step makes all pairs that are left
+BIG = 32  # components of so many nodes are probed as a whole
+MEMBERS, PROBES = 512, 1024  # sets that meet in one group
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
@@ -156,7 +162,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     found = texts.select("text").mapInArrow(run, "fa bigint, fb bigint, shingles array<bigint>")
     keys = wanted.select("node", "fa", "fb")
     keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
-    return found.join(keys, ["fa", "fb"]).select("node", "shingles").dropDuplicates(["node"])
+    return found.join(keys, ["fa", "fb"]).select("node", "shingles")
 
 
 def need(n: Column) -> Column:
@@ -184,48 +190,118 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _signed(a: str, b: str) -> Column:
-    """The bit signatures allow the overlap that similarity needs."""
+    """The bit signatures allow the overlap that similarity needs: as many values as two such sets' sketches share, less five standard deviations, and less 12 bits in 100 and 2 for values that share bits."""
     common = sum((F.bit_count(F.col(f"{a}.sig")[i].bitwiseAND(F.col(f"{b}.sig")[i])) for i in range(SIGNATURE)), F.lit(0))
-    return common >= F.least(need(F.col(f"{a}.n")), need(F.col(f"{b}.n"))) * 0.8 - 1
+    na, nb = F.col(f"{a}.n").cast("double"), F.col(f"{b}.n").cast("double")
+    share = (na + nb) * (PERCENT / (100 + PERCENT)) / F.greatest(na, nb)
+    kept = F.least(F.lit(float(K)), F.greatest(na, nb))
+    sampled = F.when(F.greatest(na, nb) > K, 5 * F.sqrt(kept * share * (1 - share))).otherwise(0.0)
+    return common >= (kept * share - sampled) * 0.88 - 2
 
 
 def leader_pairs(posts: DataFrame, comps: DataFrame | None, seed: int | None) -> DataFrame:
-    """Pairs a < b of each listed node with its list's leader (the smallest node, or by seed a node at random), if not connected yet."""
+    """Pairs a, b of each listed node with leaders of its lists (their smallest nodes, or by seed a node at random), if not connected yet: those ``LEADERS`` that lead most of them."""
     p = posts.select("v", "node", "n", "sig")
     p = p.withColumn("comp", F.col("node")) if comps is None else _with_comp(p, comps)
     order = F.col("node") if seed is None else F.xxhash64(F.lit(seed), "v", "node")
     leads = p.groupBy("v").agg(F.min(F.struct(order.alias("o"), "node", "n", "sig", "comp")).alias("lead")).select("v", "lead.node", "lead.n", "lead.sig", "lead.comp")
     leads = stash(leads, "dedup-leaders")
     pairs = p.alias("x").join(leads.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y") & _signed("x", "y"))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def remaining_pairs(posts: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs a < b of listed nodes that aren't connected yet, each from the first list that both are in."""
-    p = stash(_with_comp(posts, comps), "dedup-open")
-    mixed_lists = p.groupBy("v").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("v")
-    open_lists = stash(p.join(stash(mixed_lists, "dedup-mixed"), "v"), "dedup-open-lists")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    lists = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), "b"))
+    return lists.withColumn("_r", most).filter(F.col("_r") <= LEADERS).select("a", "b")
+
+
+def remaining_links(posts: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """All links between components that listed nodes show. Pairs of nodes of small components are made one by one, each in the first list that both are in; a component of ``BIG`` nodes or more is probed as a whole."""
+    large = stash(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= BIG), "dedup-large")
+    p = _with_comp(posts, comps).join(_small(large), "comp", "left").withColumn("big", F.col("size").isNotNull()).drop("size")
+    p = stash(p, "dedup-open")
+    mixed_lists = stash(p.groupBy("v").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("v"), "dedup-mixed")
+    open_lists = stash(p.join(mixed_lists, "v"), "dedup-open-lists")
+    x, y = open_lists.filter("NOT big").alias("x"), open_lists.filter("NOT big").alias("y")
     once = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.v")
     pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y") & _signed("x", "y") & once)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    links = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, docs, words)
+    heads = open_lists.filter("big").select("v", "comp").distinct().alias("h")
+    met = open_lists.select("v", "node", "comp", "big").alias("x").join(heads, (F.col("x.v") == F.col("h.v")) & (F.col("x.comp") != F.col("h.comp")) & (~F.col("x.big") | (F.col("x.comp") < F.col("h.comp"))))
+    probes = stash(met.select(F.col("x.node").alias("node"), F.col("h.comp").alias("comp")).distinct(), "dedup-probes")
+    found = stash(probed(probes, comps, nodes, docs, words), "dedup-links")
+    unstash(p, mixed_lists, open_lists, large, probes)
+    return links.unionByName(found)
+
+
+def probed(probes: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """For probes (node, comp) a link, if there is one, from the node to a member of the component, by whole sets.
+
+    Members are dealt into blocks and probes into chunks of bounded size; each block meets each chunk in a group of its own,
+    which gives at most one link a probe. So the rows that move grow with nodes and blocks, never with pairs.
+    """
+    counts = probes.groupBy("comp").agg(F.count(F.lit(1)).alias("asked")).join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
+    cells = stash(counts.select("comp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asked") / PROBES).cast("int").alias("chunks")), "dedup-cells")
+    inside = comps.join(_small(cells), "comp")
+    asking = probes.join(_small(cells), "comp")
+    ends = inside.select("node").unionByName(asking.select("node")).distinct()
+    wanted = stash(nodes.select("node", "class_id", "fa", "fb").join(ends, "node", "left_semi"), "dedup-wanted")
+    sets = stash(whole_sets(docs, wanted, words), "dedup-sets")
+
+    def dealt(parts: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    members = inside.withColumn("block", dealt("blocks")).withColumn("chunk", every("chunks")).select("comp", "block", "chunk", "node", F.lit(False).alias("asks"))
+    askers = asking.withColumn("chunk", dealt("chunks")).withColumn("block", every("blocks")).select("comp", "block", "chunk", "node", F.lit(True).alias("asks"))
+    return members.unionByName(askers).join(sets, "node").groupBy("comp", "block", "chunk").applyInPandas(_first_links, "a bigint, b bigint")
+
+
+def _first_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Of each asking set the first member that is similar enough."""
+    asking, members, out = group[group["asks"]], group[~group["asks"]], []
+    if len(asking) and len(members):
+        sizes = np.array([len(s) for s in members["shingles"]])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        values = np.concatenate(members["shingles"].to_list())
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for node, own in zip(asking["node"], asking["shingles"], strict=True):
+            low, high = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+            n = high - low
+            hits = owner[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            inter = np.bincount(hits, minlength=len(sizes))
+            alike = np.flatnonzero(inter * 100 >= (sizes + len(own) - inter) * PERCENT)
+            if len(alike):
+                other = int(members["node"].iloc[alike[0]])
+                out.append((min(int(node), other), max(int(node), other)))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if its count allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _with_comp(posts: DataFrame, comps: DataFrame) -> DataFrame:
-    return posts.join(comps.select("node", F.col("comp").alias("_c")), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
+    return posts.join(_small(comps.select("node", F.col("comp").alias("_c"))), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs whose union-sketch estimate and then whose whole sets reach the similarity."""
     small = nodes.select("node", "sketch")
     both = pairs.join(small.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(small.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     estimate = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) / F.size(union)
     likely = stash(both.filter(estimate >= PERCENT / 100 - SLACK).select("a", "b"), "dedup-likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stash(nodes.select("node", "class_id", "fa", "fb").join(ends, "node", "left_semi"), "dedup-wanted")
+    sets = stash(whole_sets(docs, wanted, words), "dedup-sets")
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("tb")), "b")
     inter = F.size(F.array_intersect("ta", "tb"))
     counted = full.select("a", "b", inter.alias("i"), (F.size("ta") + F.size("tb") - inter).alias("u"))
-    return stash(counted.filter(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b"), "dedup-links")
+    links = stash(counted.filter(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b"), "dedup-links")
+    unstash(likely, wanted, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,14 +309,16 @@ def components(links: DataFrame) -> DataFrame:
     both = stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "dedup-edges")
     labels = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "dedup-labels")
     while True:
-        reach = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        spread = labels.join(reach.select(F.col("a").alias("node"), "c"), "node").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("old"))
-        spread = stash(spread, "dedup-spread")
-        jump = spread.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        moved = stash(spread.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "old"), "dedup-labels")
-        labels = moved.select("node", "comp")
+        known = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
+        reach = both.join(_small(known), "b").groupBy("a").agg(F.min("c").alias("c"))  # an edge goes both ways, so every node is here
+        jump = labels.select(F.col("node").alias("c"), F.col("comp").alias("next"))
+        moved = reach.join(_small(jump), "c").select(F.col("a").alias("node"), F.least("c", "next").alias("comp"))
+        moved = stash(moved.join(_small(labels.select("node", F.col("comp").alias("old"))), "node").select("node", F.least("comp", "old").alias("comp"), "old"), "dedup-labels")
+        unstash(labels)
+        labels = moved
         if moved.filter("comp <> old").limit(1).count() == 0:
-            return labels
+            unstash(both)
+            return labels.select("node", "comp")
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -249,24 +327,32 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
     nodes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
     posts = postings(nodes)
-    wanted = stash(nodes.select("node", "class_id", "fa", "fb").join(posts.select("node").distinct(), "node", "left_semi"), "dedup-wanted")
-    sets = stash(whole_sets(docs, wanted, words), "dedup-sets")
-    links = verified(leader_pairs(posts, None, None), nodes, sets)
+    links = verified(leader_pairs(posts, None, None), nodes, docs, words)
     comps = components(links)
-    links = stash(links.unionByName(verified(leader_pairs(posts, comps, 1), nodes, sets)), "dedup-links")
+    links = stash(links.unionByName(verified(leader_pairs(posts, comps, 1), nodes, docs, words)), "dedup-links")
     comps = components(links)
-    links = links.unionByName(verified(remaining_pairs(posts, comps), nodes, sets))
+    links = links.unionByName(remaining_links(posts, comps, nodes, docs, words))
     comps = components(links)
     named = nodes.select("node", "fa", "fb", "class_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = stash(named, "dedup-named")
     least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     by_set = stash(named.join(least, "comp").select("fa", "fb", "component_id"), "dedup-components")
+    unstash(nodes, posts, named)
     out = rows.select("doc_id", "n", "fa", "fb").join(by_set, ["fa", "fb"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each group of near-duplicates; of rows with one id one stays."""
-    gone = dedup(docs, words).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without all but one document of each group of near-duplicates; of rows with one id one stays.
+
+    Ids that go, and ids that several rows have, are narrow tables; texts move only if those are too many to broadcast, or to choose among rows with one id.
+    """
+    found = stash(dedup(docs, words).select("doc_id", "kept"), "dedup-result")
+    gone = stash(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
+    again = stash(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "dedup-again")
+    rest = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    if again.limit(1).count() == 0:
+        return rest
+    several = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return rest.join(_small(again), several, "left_anti").unionByName(rest.join(_small(again), several, "left_semi").dropDuplicates(["doc_id"]))

@@ -33,7 +33,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stash_path = path
+    return back
+
+
+def unstash(*written: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in written:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
