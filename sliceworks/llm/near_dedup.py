@@ -7,11 +7,11 @@
    values of their sketches (for sets larger than the sketch: but for about one pair in 10^7, as the binomial tail
    has it), so under one order of all values, rarest first, they share one of the first ``kept - need + 1`` values of
    each. Only those are listed; common values are not among them unless most of a sketch is common.
-3. No list is expanded into all its pairs. Two rounds pair each node of a list with leaders of the list. What is not
+3. Lists aren't expanded into all their pairs at once. Two rounds pair each node of a list with leaders of the list. What is not
    connected then is held against large components as a whole: probes and members meet in groups of bounded size, which
    give links alone. Only nodes of small components are paired one by one, each pair in the first list that its nodes share,
-   if sizes and bit signatures of the sketches allow similarity. So the rows that a large group of near copies makes
-   grow with its size, not its square.
+   if sizes and bit signatures of the sketches allow similarity. Those pairs are the one part that can grow with the square
+   of a group: where the leaders leave many small components among near copies, each pair of their nodes is a row.
 4. The union-sketch estimate (the share of the k smallest values of both sketches that are in both) drops most of what
    is left; exact intersections of the whole sets decide on the rest.
 5. Links join to components by propagating the smallest node with pointer jumping; a component is named by its smallest
