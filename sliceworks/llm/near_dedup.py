@@ -27,6 +27,7 @@ never a component's name unless all ids are null; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,13 +191,19 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _signed(a: str, b: str) -> Column:
-    """The bit signatures allow the overlap that similarity needs: as many values as two such sets' sketches share, less five standard deviations, and less 12 bits in 100 and 2 for values that share bits."""
-    common = sum((F.bit_count(F.col(f"{a}.sig")[i].bitwiseAND(F.col(f"{b}.sig")[i])) for i in range(SIGNATURE)), F.lit(0))
-    na, nb = F.col(f"{a}.n").cast("double"), F.col(f"{b}.n").cast("double")
-    share = (na + nb) * (PERCENT / (100 + PERCENT)) / F.greatest(na, nb)
-    kept = F.least(F.lit(float(K)), F.greatest(na, nb))
-    sampled = F.when(F.greatest(na, nb) > K, 5 * F.sqrt(kept * share * (1 - share))).otherwise(0.0)
-    return common >= (kept * share - sampled) * 0.88 - 2
+    """The bit signatures allow the overlap that similarity needs; no pair that ``verified`` would link fails here.
+
+    A bit that only one sketch sets stands for at least one value that the other lacks, so neither sketch has more such bits
+    than values beyond the shared ones. Whole sketches share what the sizes ask for; others share what the estimate's limit asks for.
+    """
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    whole = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-6)
+    shared = F.when(F.greatest(na, nb) <= K, whole).otherwise(F.lit(math.ceil(K * (PERCENT / 100 - SLACK) - 1e-6)))
+
+    def alone(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.sig")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.sig")[i]))) for i in range(SIGNATURE)), F.lit(0))
+
+    return (alone(a, b) + shared <= F.least(na, F.lit(K))) & (alone(b, a) + shared <= F.least(nb, F.lit(K)))
 
 
 def leader_pairs(posts: DataFrame, comps: DataFrame | None, seed: int | None) -> DataFrame:

@@ -67,6 +67,22 @@ def test_components(spark, width):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_pairs_at_the_threshold(spark):
+    """Sets of about the sketch's size, each with one partner that is just similar enough or just not: none is lost."""
+    rows, pairs = [], []
+    for p in range(3000):
+        a = 40 + p % 25
+        b = min(64, a + p // 25 % 9)
+        common = min(a, -(-80 * (a + b) // 180) - (p % 10 == 0))
+        pairs.append((len(rows), 100 * common >= 80 * (a + b - common)))
+        rows.append(" ".join(f"p{p}w{i}" for i in range(a)))
+        rows.append(" ".join([f"p{p}w{i}" for i in range(common)] + [f"p{p}x{i}" for i in range(b - common)]))
+    found = near_dedup.dedup(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOCS), 1)
+    component = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert sum(alike for _, alike in pairs) > 2000 and sum(not alike for _, alike in pairs) >= 300
+    assert [i for i, alike in pairs if (component[i + 1] == i) != alike] == []
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words are in this one"), (4, None), (5, ""), (None, "a b c d e f g")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
