@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ship
 from .shared import stash, text_runs, unstash
@@ -328,8 +329,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def resolved(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, fa, fb, component_id and chosen (the row's set is the one that stands for its component) of every row; the last two are null for the empty set."""
     rows = stash(sketches(docs, words), "dedup-rows")
     classes = rows.filter("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
     nodes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
@@ -342,24 +343,58 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     comps = components(links)
     named = nodes.select("node", "fa", "fb", "class_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = stash(named, "dedup-named")
-    least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    by_set = stash(named.join(least, "comp").select("fa", "fb", "component_id"), "dedup-components")
+    first = F.min(F.struct(F.col("class_id").isNull().alias("unnamed"), "class_id", "fa", "fb")).alias("first")
+    least = named.groupBy("comp").agg(first).select("comp", F.col("first.class_id").alias("component_id"), F.struct("first.fa", "first.fb").alias("stands"))
+    chosen = (F.struct("fa", "fb") == F.col("stands")).alias("chosen")
+    by_set = stash(named.join(least, "comp").select("fa", "fb", "component_id", chosen), "dedup-components")
     unstash(nodes, posts, named)
-    out = rows.select("doc_id", "n", "fa", "fb").join(by_set, ["fa", "fb"], "left")
+    return rows.select("doc_id", "n", "fa", "fb").join(by_set, ["fa", "fb"], "left")
+
+
+def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return resolved(docs, words).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def printed(docs: DataFrame, words: int) -> DataFrame:
+    """The rows of ``docs`` with the size and fingerprint of their sets as _n, _fa and _fb."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_runs(batch.column("text")):
+                sets = shingle_sets(data, offsets, words)
+                prints = [fingerprint(s) for s in sets]
+                own = [pa.array(v, pa.int64()) for v in ([len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *own], names=[*batch.schema.names, "_n", "_fa", "_fb"])
+
+    ship(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in ("_n", "_fa", "_fb")]])
+    return docs.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each group of near-duplicates; of rows with one id one stays.
+    """The rows of ``docs`` without all but one document of each group of near-duplicates; of rows with one id and one set one stays.
 
-    Ids that go, and ids that several rows have, are narrow tables; texts move only if those are too many to broadcast, or to choose among rows with one id.
+    A row is decided by its id and its set, so a copy's id takes no other text with it. Ids that one row has are decided by
+    narrow tables. Rows whose id is null or repeated get their fingerprints again; rows without words have no
+    links, and only those with one id, not null, are merged.
     """
-    found = stash(dedup(docs, words).select("doc_id", "kept"), "dedup-result")
-    gone = stash(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
-    again = stash(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "dedup-again")
-    rest = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if again.limit(1).count() == 0:
-        return rest
-    several = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return rest.join(_small(again), several, "left_anti").unionByName(rest.join(_small(again), several, "left_semi").dropDuplicates(["doc_id"]))
+    found = resolved(docs, words)
+    stays = (F.col("n") == 0) | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = stash(found.select("doc_id", "n", "fa", "fb", stays.alias("stays")), "dedup-result")
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.min("stays").alias("stays"))
+    gone = stash(ids.filter("m = 1 AND NOT stays").select(F.col("doc_id").alias("_gone")), "dedup-gone")
+    again = stash(ids.filter("m > 1").select(F.col("doc_id").alias("_again")), "dedup-again")
+    several = F.col("doc_id") == F.col("_again")
+    once = docs.filter("doc_id IS NOT NULL").join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti").join(_small(again), several, "left_anti")
+    shared = docs.filter("doc_id IS NOT NULL").join(_small(again), several, "left_semi")
+    marked = stash(printed(shared.unionByName(docs.filter("doc_id IS NULL")), words), "dedup-shared")
+    if marked.limit(1).count() == 0:
+        return once
+    bare = marked.filter("doc_id IS NULL AND _n = 0")
+    keys = found.filter("stays AND (doc_id IS NULL AND n > 0)").unionByName(found.filter("stays").join(_small(again), several, "left_semi"))
+    keys = stash(keys.select(F.col("doc_id").alias("_id"), F.col("fa").alias("_a"), F.col("fb").alias("_b")).distinct(), "dedup-stays")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fa") == F.col("_a")) & (F.col("_fb") == F.col("_b"))
+    rest = marked.filter("doc_id IS NOT NULL OR _n > 0").join(_small(keys), same, "left_semi").dropDuplicates(["doc_id", "_fa", "_fb"])
+    return once.unionByName(rest.unionByName(bare).select(*docs.columns))

@@ -92,6 +92,16 @@ def test_one_of_each_group_stays(spark):
     assert near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    copy, near = "a b c d e f g", " ".join(f"n{i}" for i in range(60))
+    rows = [(1, copy), (None, copy), (None, "words that no other row has here"), (None, "and these are once more others"), (None, ""), (None, None)]
+    rows += [(5, copy), (5, "this text of a repeated id is alone"), (7, near), (7, near + " end"), (8, "x y z"), (8, "x y z"), (None, "p q r s t u"), (None, "p q r s t u")]
+    kept = near_dedup.keep_one(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)).collect()
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept if r["doc_id"] != 7)
+    assert found == [(0, ""), (0, ""), (0, "and these are once more others"), (0, "p q r s t u"), (0, "words that no other row has here"), (1, copy), (5, "this text of a repeated id is alone"), (8, "x y z")]
+    assert sum(r["doc_id"] == 7 for r in kept) == 1
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 0.2, 16).astype(np.float32).tolist()) for i in range(300)]
