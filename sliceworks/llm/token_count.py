@@ -6,7 +6,9 @@ proven stable: a blank after a non-blank. No piece of the vocabulary holds a bla
 checked when the model loads), so no merge ever spans such a byte, and what lies right of it is encoded alike whatever
 lies left. If the overlap has no such byte, it is widened, at last to the rest of the text.
 
-Offsets come from the pieces' lengths in bytes, so nothing but ids leaves the tokenizer. Memory: one chunk's ids.
+Offsets come from the pieces' lengths in bytes, so nothing but ids leaves the tokenizer. A literal U+2581 gives the same
+pieces as a blank (checked when the model loads), so a long text is cut with blanks in its place. Where the lengths
+don't add up to a chunk's end, the offsets are unknown and the text is encoded whole. Memory: one chunk's ids, or one text's.
 
 Cases: a null or empty text has no tokens; a text without blanks ends as one chunk; repeated rows count each;
 an empty table gives an empty result; other columns are not read.
@@ -30,6 +32,10 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 BLANK = "▁"  # how pieces spell a blank
 
 
+class _UnknownOffsets(Exception):
+    """The pieces' lengths don't add up to the bytes of a chunk."""
+
+
 class Counter:
     """A sentencepiece model with the lengths of its pieces in bytes of text."""
 
@@ -41,16 +47,21 @@ class Counter:
         for i, piece in enumerate(pieces):
             if BLANK in piece.lstrip(BLANK) and not self.model.is_control(i):
                 raise ValueError(f"piece {piece!r} holds a blank after another character: no byte is proven stable")
+        if any(self.model.encode(t) != self.model.encode(t.replace(BLANK, " ")) for t in (f"{BLANK}a{BLANK}b {BLANK}", f"a {BLANK}{BLANK}b", f"x{BLANK}{BLANK}{BLANK}")):
+            raise ValueError("a literal U+2581 is encoded otherwise than a blank: offsets are not known")
         self.lengths = np.array([1 if self.model.is_byte(i) else len(p.replace(BLANK, " ").encode()) for i, p in enumerate(pieces)], np.int64)
 
     def ends(self, raw: bytes, start: int, end: int, stable: bool) -> np.ndarray:
-        """Where the tokens of raw[start:end] end, in bytes of ``raw``.
+        """Where the tokens of raw[start:end] end, in bytes of ``raw``, which has no U+2581.
 
         The model puts a blank in front. At a stable start it stands for the blank that is there; elsewhere it has no byte.
         """
         text = raw[start + 1 : end] if stable else raw[start:end]
         sizes = self.lengths[np.array(self.model.encode(text.decode(), num_threads=1), np.int64)]
-        return start + np.cumsum(sizes) - (0 if stable else 1)
+        found = start + np.cumsum(sizes) - (0 if stable else 1)
+        if len(found) and found[-1] != end:
+            raise _UnknownOffsets
+        return found
 
     def long(self, raw: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a long text, chunk by chunk. ``start`` is 0 or a stable byte; what lies before it is counted."""
@@ -85,7 +96,10 @@ class Counter:
                 out[i] = len(ids)
         for i, r in enumerate(raws):
             if len(r) > chunk:
-                out[i] = self.long(r, chunk, overlap)
+                try:
+                    out[i] = self.long(texts[i].replace(BLANK, " ").encode(), chunk, overlap)
+                except _UnknownOffsets:
+                    out[i] = len(self.model.encode(texts[i], num_threads=1))
         return [len(r) for r in raws], out
 
 

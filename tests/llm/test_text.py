@@ -43,6 +43,20 @@ def test_counts_equal_the_library(counter, chunk, overlap):
     assert n == [len(x) for x in counter.model.encode(texts)]
 
 
+def test_counts_with_literal_blank_marks(counter):
+    """U+2581 before, in and after an overlap, in texts of 40 KB: it is one byte to a piece and three to the text."""
+    rng = random.Random(5)
+    wrong = []
+    for at in (0, 8000, 15800, 15900, 16000, 16200, 16380, 16500, 20000, 32000):
+        for mark in ("piece ▁the ", "▁", "▁▁ ", "a▁b▁c "):
+            for n in (1, 2, 3):
+                prose = " ".join("".join(rng.choice("etaoinsr") for _ in range(rng.randrange(1, 5))) for _ in range(13000))[:40000]
+                text = prose[:at] + mark * n + prose[at:]
+                if counter.counts([text])[1] != [len(counter.model.encode(text))]:
+                    wrong.append((at, mark, n))
+    assert wrong == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=" a bcé\n日x.", max_size=400))
 def test_counts_of_any_text(counter_text):
