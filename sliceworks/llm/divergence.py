@@ -2,14 +2,16 @@
 
 Per language a reference is summed over all its documents that pass the base rules: a histogram of character classes
 and one of common words. Junk blurs such sums, so they are made twice, the second time over the documents that the
-first references keep. A document is held against the references by the Jensen-Shannon distance (the square root of
-the divergence in bits, 0 to 1), and goes if the nearest reference is too far in either histogram. Guards: a text with
+first references keep. A document is held against its own language's reference by the Jensen-Shannon distance (the square root of
+the divergence in bits, 0 to 1), and goes if it is too far in either histogram. Guards: a text with
 fewer than ``MIN_CHARS`` characters isn't judged by its characters, one with fewer than ``MIN_WORDS`` words not by its
 words, and the limit for words widens as texts shorten, since few words scatter more.
 
 The text is read once; what is counted goes to a narrow table in the shared folder, from which the references are
-summed and all rows judged. References exist for at most ``LANGUAGES`` languages, those with the most words; documents
-of others, or of none, are held against the nearest of those.
+summed and all rows judged. References exist for at most ``LANGUAGES`` languages, those with the most words, and only with
+``REFERENCE_DOCS`` documents and ``REFERENCE_WORDS`` words or more, so that a few documents of junk make none; documents of others,
+or of none, are held against one reference, whose two distances sum to the least. Common words are a fixed list for four
+languages: the words of another say little, and its documents are judged by their characters.
 
 Cases: a null or empty text has no words and fails the base rules; without any reference only the base rules hold;
 repeated rows are judged alike and each count in a reference; an empty table gives an empty result.
@@ -37,6 +39,7 @@ WORD_LIMIT = 0.30
 BOTH_LIMITS = (0.17, 0.26)  # for characters and words that are both somewhat far
 WORD_SLACK = 0.6  # over the square root of the number of words
 LANGUAGES = 256
+REFERENCE_DOCS, REFERENCE_WORDS = 20, 5000
 SYMBOLS = "#*$%&|<>"
 
 # Frequent function words of English, French, German and Spanish.
@@ -139,10 +142,10 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(good: DataFrame, languages: int = LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Histograms of classes and of common words, a row a language."""
+def references(good: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages with enough documents and words, and their histograms of classes and of common words, a row a language."""
     good = good.filter(F.col("lang").isNotNull() & ~base_failed())
-    frequent = good.groupBy("lang").agg(F.sum("n_words").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    frequent = good.groupBy("lang").agg(F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("docs")).filter((F.col("n") >= REFERENCE_WORDS) & (F.col("docs") >= REFERENCE_DOCS)).orderBy(F.desc("n"), "lang").limit(languages)
     good = good.join(F.broadcast(frequent), "lang", "left_semi")
     sums = (
         good.select("lang", F.posexplode(F.concat("classes", "common")).alias("at", "n")).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()  # languages * bins rows at most
@@ -151,7 +154,7 @@ def references(good: DataFrame, languages: int = LANGUAGES) -> tuple[np.ndarray,
     out = np.zeros((len(names), N_CLASSES + N_WORDS))
     for r in sums:
         out[names.index(r["lang"]), r["at"]] = r["n"]
-    return out[:, :N_CLASSES], out[:, N_CLASSES:]
+    return names, out[:, :N_CLASSES], out[:, N_CLASSES:]
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -164,9 +167,10 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d / 2, 0, 1)) * (p.sum(2) > 0)
 
 
-def verdicts(rows: DataFrame, refs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def verdicts(rows: DataFrame, refs: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """The rows with near, char_distance and word_distance."""
-    class_refs, word_refs = refs
+    names, class_refs, word_refs = refs
+    place = {name: i for i, name in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,12 @@ def verdicts(rows: DataFrame, refs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 n = part.num_rows
                 chars = np.array(part.column("classes").to_pylist(), float).reshape(n, N_CLASSES)
                 words = np.array(part.column("common").to_pylist(), float).reshape(n, N_WORDS)
-                char_d, word_d = (distance(x, r).min(1) if len(r) else np.zeros(n) for x, r in ((chars, class_refs), (words, word_refs)))
+                char_d = word_d = np.zeros(n)
+                if place:
+                    by_class, by_common = distance(chars, class_refs), distance(words, word_refs)
+                    own = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()])
+                    own = np.where(own < 0, (by_class + by_common).argmin(1), own)
+                    char_d, word_d = by_class[np.arange(n), own], by_common[np.arange(n), own]
                 total = words.sum(1)
                 slack = WORD_SLACK / np.sqrt(np.maximum(total, 1))
                 by_char, by_word = chars.sum(1) >= MIN_CHARS, total >= MIN_WORDS

@@ -211,3 +211,18 @@ def test_rules_on_odd_rows(spark):
     rows = divergence.judge(odd(spark)).collect()
     assert len(rows) == len(ODD) + 1 and not any(r["kept"] for r in rows if r["base_failed"])
     assert divergence.judge(odd(spark).limit(0)).count() == 0
+
+
+def test_each_language_has_its_own_reference(spark):
+    """Neither another language without common words nor a few documents of junk keep what English would drop."""
+    rng = random.Random(8)
+
+    def text(common, chars="etaoinsrhld", n=300):
+        made = ["".join(rng.choice(chars) for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+        return " ".join(rng.choice("the of and to in is that it for was".split()) if rng.random() < common else w for w in made)
+
+    rows = [(i, text(0.4), "en") for i in range(40)] + [(100 + i, text(0), "xx") for i in range(40)]
+    rows += [(200, text(0), "en"), (201, text(0.4), None)] + [(300 + i, text(0, "#*$%&|<>"), "zz") for i in range(3)]
+    kept = {r["doc_id"]: r["kept"] for r in divergence.judge(spark.createDataFrame([(i, t, k, "s", "x", 1) for i, t, k in rows], DOCS)).collect()}
+    assert all(kept[i] for i in [*range(40), *range(100, 140), 201])
+    assert not any(kept[i] for i in (200, 300, 301, 302))
