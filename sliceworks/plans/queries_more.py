@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import erasure
@@ -143,14 +143,19 @@ def sca_44(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sca_48_subset_search")
 def sca_48(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document as six slices of which one is damaged: every choice of four is decoded, and one whose whole sum matches is found."""
+    """Each document as six slices of which one, by a hash of its id, is damaged: every choice of four is decoded, and one whose whole sum matches is found."""
     raw = F.col("text").cast("binary")
     width = F.greatest(F.lit(1), F.ceil(F.length(raw) / 4)).cast("int")
     parts = F.array(*[F.rpad(F.substring(raw, F.lit(1) + width * i, width), width, F.lit(b"\x00")) for i in range(4)])
-    some = driver_table(spark, sf, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("object_id"), parts.alias("data"))
+    some = driver_table(spark, sf, "documents").select(F.col("doc_id").alias("object_id"), parts.alias("data"))
     coded = erasure.with_parity(some, 2)
     joined = reduce(lambda a, b: F.concat(a, b), [F.col("data")[i] for i in range(4)])
-    hurt = coded.select("object_id", F.md5(joined).alias("sum"), F.concat(F.array(F.unhex(F.lit("00"))), F.slice("data", 2, 3), "parity").alias("all"))
+    victim = F.pmod(F.xxhash64("object_id"), F.lit(6)).cast("int")
+
+    def damage(x: Column) -> Column:
+        return F.when(F.substring(x, 1, 1) == F.unhex(F.lit("FF")), F.unhex(F.lit("FE"))).otherwise(F.unhex(F.lit("FF")))
+
+    hurt = coded.select("object_id", F.md5(joined).alias("sum"), F.transform(F.concat("data", "parity"), lambda x, i: F.when(i == victim, damage(x)).otherwise(x)).alias("all"))
     choices = [[i for i in range(6) if i not in (a, b)] for a in range(6) for b in range(a)]
     tried = hurt.withColumn("choice", F.explode(F.array(*[F.array(*map(F.lit, c)) for c in choices])))
     picked = tried.select((F.col("object_id") * 100 + F.row_number().over(Window.partitionBy("object_id").orderBy("choice"))).alias("object_id"), "sum", F.map_from_entries(F.transform("choice", lambda i: F.struct(i, F.get("all", i)))).alias("slices"))

@@ -32,3 +32,12 @@ def test_entry_points(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_subset_search_finds_every_document(spark):
+    """One slice of six is damaged, so five choices of four are whole."""
+    sf = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["sca_48_subset_search"](spark, sf).collect()
+    texts = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(r["doc_id"] for r in texts)
+    assert {r["choices"] for r in found} == {5}
