@@ -25,8 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import ship
-from .shared import text_runs
+from .shared import python_ready, text_runs
 
 MASK_BITS = 10  # a cut every 1024 bytes on average
 WINDOW = 16
@@ -182,7 +181,7 @@ def _coded(docs: DataFrame, tokenizer_path: str, with_ids: bool) -> DataFrame:
                     columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" if with_ids else SCHEMA)
 
 
@@ -202,7 +201,7 @@ def decode_documents(rows: DataFrame, tokenizer_path: str) -> DataFrame:
                 texts = [codec.decode(np.array(i or [], "<u4").tobytes()).decode() for i in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    ship(rows.sparkSession)
+    python_ready(rows.sparkSession)
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .shared import stash
+from .shared import python_ready, stash
 
 MIN_CHARS = 300
 MIN_WORDS = 50
@@ -134,7 +133,7 @@ def features(docs: DataFrame) -> DataFrame:
                 lists = [pa.array(c, pa.list_(pa.int32())) for c in columns[5:]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), *counts, *lists], [f.split()[0] for f in FEATURES.split(", ")])
 
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select("doc_id", "lang", "text").mapInArrow(run, FEATURES)
 
 

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .shared import fold_of, text_runs
+from .shared import fold_of, python_ready, text_runs
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 15
@@ -201,7 +200,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
     """Learn from rows with a language outside the held-out fold (crc32 of the id, modulo 3, is 1)."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     learnable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
     rows = sample(learnable, per_language, languages)
     names = sorted({r["lang"] for r in rows})

@@ -3,52 +3,49 @@
 1. Each text becomes its set of hashed word shingles, of which a row keeps only the size, a 126-bit fingerprint and the
    ``K`` smallest hashes: a bottom-k sketch from one hash function. Texts with equal sets are one class; from here on
    a class is one node, so copies cost nothing however many there are.
-2. Inverted lists of the retained values find overlaps. Two sets that are similar enough share at least ``need(n)``
-   values of their sketches (for sets larger than the sketch: but for about one pair in 10^7, as the binomial tail
-   has it), so under one order of all values, rarest first, they share one of the first ``kept - need + 1`` values of
-   each. Only those are listed; common values are not among them unless most of a sketch is common.
-3. Lists aren't expanded into all their pairs at once. Two rounds pair each node of a list with leaders of the list. What is not
-   connected then is held against large components as a whole: probes and members meet in groups of bounded size, which
-   give links alone. Only nodes of small components are paired one by one, each pair in the first list that its nodes share,
-   if sizes and bit signatures of the sketches allow similarity. Those pairs are the one part that can grow with the square
-   of a group: where the leaders leave many small components among near copies, each pair of their nodes is a row.
-4. The union-sketch estimate (the share of the k smallest values of both sketches that are in both) drops most of what
-   is left; exact intersections of the whole sets decide on the rest.
-5. Links join to components by propagating the smallest node with pointer jumping; a component is named by its smallest
-   doc_id.
-
-Sets are fetched again only for nodes of pairs whose estimate is high enough. Every step between is a written table. Nothing is
-collected but counts.
+2. Inverted lists of the ``LISTED`` smallest values find overlaps. Two sets that are similar enough share at least ``need(n)``
+   of these values (for sets larger than that: but for about one pair in 10^7, as the binomial tail has it), so under one
+   order of all values, rarest first, they share one of the first ``kept - need + 1`` values of each. Only those are listed.
+3. The nodes of a list are compared with each other inside a task, by sizes and by bit signatures of their sketches, and give a
+   spanning forest of what may be similar, never the pairs. What hangs together is a group of candidates.
+4. Inside each group the union-sketch estimate (the share of the k smallest values of both sketches that are in both)
+   is taken between sketches and again gives a spanning forest, hence smaller groups; inside those, whole sets from whole
+   texts are intersected exactly and give a spanning forest of links.
+5. Forests join to groups by propagating the smallest node with pointer jumping; a component is named by its smallest doc_id.
+
+A list or a group of more than ``LIST_CELL`` nodes or ``CELL`` values is dealt into blocks by a hash of the node, and every two
+blocks meet in a cell of their own. So a task holds two blocks at most (or one longer text), and what moves between steps is a row for
+each node and cell; no step makes a row for each pair. Nodes of one block that are found connected aren't compared again.
+Texts are fetched again only for groups of candidates that passed the estimate. Steps between shuffles are written tables, deleted as soon as
+nothing reads them. Nothing is collected but counts.
 
 Cases: a null or empty text, or one without words, has the empty set and no links; a text with fewer words than a
 shingle is one shingle; A-Z are lower-cased and nothing else; repeated rows with one id are linked like others; a null id is
-never a component's name unless all ids are null; an empty table gives an empty result.
+never a component's name unless all ids are null; an empty table gives an empty result; columns of any name may be there besides.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import ship
-from .shared import stash, text_runs, unstash
+from .shared import python_ready, stash, text_runs, unstash, unused, whole_groups
 
 WORDS = 5
 PERCENT = 80
 K = 64
-OVERLAP = 32  # values that sketches of sets larger than K share at least
+LISTED = 32  # values of a sketch that may be listed
+OVERLAP = 12  # of those, sets larger than LISTED share so many at least
 SLACK = 0.25  # the estimate may lie so far under the similarity: 5 standard deviations
 SIGNATURE = 4  # longs
-LEADERS = 2  # a node is held against so many leaders a round; the last step makes all pairs that are left
-BIG = 32  # components of so many nodes are probed as a whole
-MEMBERS, PROBES = 512, 1024  # sets that meet in one group
+LIST_CELL = 2048  # nodes of a list in one block
+CELL = 200_000  # values of a group in one block
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
@@ -118,7 +115,8 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, fa, fb (fingerprint), sketch and sig (the sketch's values as bits) of every row."""
+    """doc_id, n, fa, fb (fingerprint), sketch and sig0.. (the sketch's values as bits) of every row."""
+    names = ["doc_id", "n", "fa", "fb", "sketch", *SIGS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,229 +124,297 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(data, offsets, words)
                 prints = [fingerprint(s) for s in sets]
                 low = [s[:K].astype(np.int64) for s in sets]
-                bits = []
-                for s in low:
-                    marks = np.zeros(64 * SIGNATURE, np.uint8)
-                    marks[(s >> 7) % (64 * SIGNATURE)] = 1
-                    bits.append(np.packbits(marks).view(np.int64))
+                marks = np.zeros((len(sets), 64 * SIGNATURE), np.uint8)
+                for i, s in enumerate(low):
+                    marks[i, (s >> 7) % (64 * SIGNATURE)] = 1
+                bits = np.packbits(marks, axis=1).view(np.int64)
                 columns = [
                     batch.column("doc_id").slice(first, end - first).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([p[0] for p in prints], pa.int64()),
                     pa.array([p[1] for p in prints], pa.int64()),
                     pa.array(low, pa.list_(pa.int64())),
-                    pa.array(bits, pa.list_(pa.int64())),
+                    *[pa.array(bits[:, i]) for i in range(SIGNATURE)],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fa", "fb", "sketch", "sig"])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, fa bigint, fb bigint, sketch array<bigint>, sig array<bigint>")
+    python_ready(docs.sparkSession)
+    kinds = ["bigint"] * 4 + ["array<bigint>"] + ["bigint"] * SIGNATURE
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds, strict=True)))
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and shingles of the nodes in ``wanted`` (node, class_id, fa, fb), from their texts."""
-    ids = wanted.select("class_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
+SIGS = [f"sig{i}" for i in range(SIGNATURE)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in text_runs(batch.column("text")):
-                sets = shingle_sets(data, offsets, words)
-                prints = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["fa", "fb", "shingles"]
-                )
 
-    found = texts.select("text").mapInArrow(run, "fa bigint, fb bigint, shingles array<bigint>")
-    keys = wanted.select("node", "fa", "fb")
-    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
-    return found.join(keys, ["fa", "fb"]).select("node", "shingles")
+def need(n: Column) -> Column:
+    """How many listed values a set of n shingles shares at least with any set similar to it.
+
+    Of the shared shingles each side leaves out those beyond its ``LISTED`` smallest hashes. That is least for the largest or
+    an equal partner; for large sets the binomial tail says more.
+    """
 
+    def surely(m: Column) -> Column:
+        over = [F.greatest(x - LISTED, F.lit(0)) for x in (n, m)]
+        return F.ceil(F.greatest(n, m) * PERCENT / 100 - 1e-6) - over[0] - over[1]
 
-def need(n: Column) -> Column:
-    """How many sketch values a set of n shingles shares at least with any set similar to it."""
-    return F.when(n * PERCENT <= K * PERCENT * PERCENT / 100, F.ceil(n * PERCENT / 100)).otherwise(F.lit(OVERLAP)).cast("int")
+    found = F.least(surely(n), surely(F.floor(n * 100 / PERCENT + 1e-6)))
+    return F.when(n <= LISTED, found).otherwise(F.greatest(found, F.lit(OVERLAP))).cast("int")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """node, n, sig, prefix and v: each value under which a node is listed, in lists of two nodes or more; prefix: all values it may be listed under, rarest first."""
-    entries = nodes.select("node", F.explode("sketch").alias("v"))
-    often = stash(entries.groupBy("v").count().filter("count > 1"), "dedup-values")
-    shared = entries.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "v"))).alias("shared"))  # K values a node at most
-    kept = F.least(F.col("n"), F.lit(K)).cast("int")
+    """v, node, n and signature: a row for each value under which a node is listed."""
+    entries = nodes.select("node", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    often = stash(entries.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "dedup-values")
+    shared = entries.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "v"))).alias("shared"))  # LISTED values a node at most
+    kept = F.least(F.col("n"), F.lit(LISTED)).cast("int")
     room = kept - need(F.col("n")) + 1 - (kept - F.size("shared"))  # values that no other sketch has come first
-    listed = nodes.select("node", "n", "sig").join(shared, "node").withColumn("prefix", F.slice("shared.v", 1, F.greatest(room, F.lit(0))))
-    lists = stash(listed.filter(F.size("prefix") > 0).select("node", "n", "sig", "prefix"), "dedup-prefixes")
-    each = lists.select("node", F.explode("prefix").alias("v"))
-    several = stash(each.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v"), "dedup-lists")
-    return stash(lists.select("node", "n", "sig", "prefix", F.explode("prefix").alias("v")).join(several, "v"), "dedup-postings")
+    listed = nodes.select("node", "n", *SIGS).join(shared, "node").withColumn("prefix", F.slice("shared.v", 1, F.greatest(room, F.lit(0))))
+    found = stash(listed.select("node", "n", *SIGS, F.explode("prefix").alias("v")), "dedup-postings")
+    unstash(often)
+    return found
 
 
-def _alike(a: str, b: str) -> Column:
-    """Sizes allow similarity."""
-    return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * PERCENT) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * PERCENT)
+def celled(rows: DataFrame, group: str, weight: Column, most: int) -> DataFrame:
+    """``rows`` dealt into cells (``group``, lo, hi): groups of a weight over ``most`` in blocks, each block with each other in one cell; the others in one cell each. Groups of one row are left out, where they need no counting."""
+    large = rows.groupBy(group).agg(F.sum(weight).alias("_weight")).filter(F.col("_weight") > most)
+    large = stash(large.select(group, F.ceil(F.col("_weight") / most).cast("int").alias("_blocks")), "dedup-blocks")
+    dealt = rows.join(_small(large), group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("_blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    spread = dealt.withColumn("_own", own).withColumn("_other", F.explode(others))
+    return spread.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_blocks", "_own", "_other")
 
 
-def _signed(a: str, b: str) -> Column:
-    """The bit signatures allow the overlap that similarity needs; no pair that ``verified`` would link fails here.
+def inside(cells: DataFrame, group: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]], name: str) -> DataFrame:
+    """Written edges a, b: what ``links`` finds in tables of whole cells, whose first rows it is given."""
+    keys = [group, "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            a, b = links(table, starts)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    python_ready(cells.sparkSession)
+    found = cells.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a bigint, b bigint")
+    return stash(found.filter("a < b").distinct(), name)
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(root, members) of what hangs together among 0..n-1; ``near(i, left)`` marks those of ``left`` that are near i. Each is asked for once, against those that no root has yet."""
+    left, out = np.arange(n), []
+    while len(left) > 1:
+        root, left = int(left[0]), left[1:]
+        queue = [root]
+        while queue and len(left):
+            hit = near(queue.pop(), left)
+            new = left[hit]
+            if len(new):
+                out.append((root, new))
+                queue.extend(new.tolist())
+                left = left[~hit]
+    return out
+
+
+def sizes_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
+
+
+def maybe_alike(na: np.ndarray, nb: np.ndarray, siga: np.ndarray, sigb: np.ndarray) -> np.ndarray:
+    """Sizes and signatures allow similarity; no pair that the estimate would keep fails here.
 
     A bit that only one sketch sets stands for at least one value that the other lacks, so neither sketch has more such bits
     than values beyond the shared ones. Whole sketches share what the sizes ask for; others share what the estimate's limit asks for.
     """
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    whole = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-6)
-    shared = F.when(F.greatest(na, nb) <= K, whole).otherwise(F.lit(math.ceil(K * (PERCENT / 100 - SLACK) - 1e-6)))
-
-    def alone(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}.sig")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.sig")[i]))) for i in range(SIGNATURE)), F.lit(0))
-
-    return (alone(a, b) + shared <= F.least(na, F.lit(K))) & (alone(b, a) + shared <= F.least(nb, F.lit(K)))
-
-
-def leader_pairs(posts: DataFrame, comps: DataFrame | None, seed: int | None) -> DataFrame:
-    """Pairs a, b of each listed node with leaders of its lists (their smallest nodes, or by seed a node at random), if not connected yet: those ``LEADERS`` that lead most of them."""
-    p = posts.select("v", "node", "n", "sig")
-    p = p.withColumn("comp", F.col("node")) if comps is None else _with_comp(p, comps)
-    order = F.col("node") if seed is None else F.xxhash64(F.lit(seed), "v", "node")
-    leads = p.groupBy("v").agg(F.min(F.struct(order.alias("o"), "node", "n", "sig", "comp")).alias("lead")).select("v", "lead.node", "lead.n", "lead.sig", "lead.comp")
-    leads = stash(leads, "dedup-leaders")
-    pairs = p.alias("x").join(leads.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y") & _signed("x", "y"))
-    lists = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"))
-    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), "b"))
-    return lists.withColumn("_r", most).filter(F.col("_r") <= LEADERS).select("a", "b")
-
-
-def remaining_links(posts: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """All links between components that listed nodes show. Pairs of nodes of small components are made one by one, each in the first list that both are in; a component of ``BIG`` nodes or more is probed as a whole."""
-    large = stash(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= BIG), "dedup-large")
-    p = _with_comp(posts, comps).join(_small(large), "comp", "left").withColumn("big", F.col("size").isNotNull()).drop("size")
-    p = stash(p, "dedup-open")
-    mixed_lists = stash(p.groupBy("v").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("v"), "dedup-mixed")
-    open_lists = stash(p.join(mixed_lists, "v"), "dedup-open-lists")
-    x, y = open_lists.filter("NOT big").alias("x"), open_lists.filter("NOT big").alias("y")
-    once = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.v")
-    pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y") & _signed("x", "y") & once)
-    links = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, docs, words)
-    heads = open_lists.filter("big").select("v", "comp").distinct().alias("h")
-    met = open_lists.select("v", "node", "comp", "big").alias("x").join(heads, (F.col("x.v") == F.col("h.v")) & (F.col("x.comp") != F.col("h.comp")) & (~F.col("x.big") | (F.col("x.comp") < F.col("h.comp"))))
-    probes = stash(met.select(F.col("x.node").alias("node"), F.col("h.comp").alias("comp")).distinct(), "dedup-probes")
-    found = stash(probed(probes, comps, nodes, docs, words), "dedup-links")
-    unstash(p, mixed_lists, open_lists, large, probes)
-    return links.unionByName(found)
-
-
-def probed(probes: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """For probes (node, comp) a link, if there is one, from the node to a member of the component, by whole sets.
-
-    Members are dealt into blocks and probes into chunks of bounded size; each block meets each chunk in a group of its own,
-    which gives at most one link a probe. So the rows that move grow with nodes and blocks, never with pairs.
-    """
-    counts = probes.groupBy("comp").agg(F.count(F.lit(1)).alias("asked")).join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
-    cells = stash(counts.select("comp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asked") / PROBES).cast("int").alias("chunks")), "dedup-cells")
-    inside = comps.join(_small(cells), "comp")
-    asking = probes.join(_small(cells), "comp")
-    ends = inside.select("node").unionByName(asking.select("node")).distinct()
-    wanted = stash(nodes.select("node", "class_id", "fa", "fb").join(ends, "node", "left_semi"), "dedup-wanted")
-    sets = stash(whole_sets(docs, wanted, words), "dedup-sets")
-
-    def dealt(parts: str) -> Column:
-        return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-
-    def every(parts: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-
-    members = inside.withColumn("block", dealt("blocks")).withColumn("chunk", every("chunks")).select("comp", "block", "chunk", "node", F.lit(False).alias("asks"))
-    askers = asking.withColumn("chunk", dealt("chunks")).withColumn("block", every("blocks")).select("comp", "block", "chunk", "node", F.lit(True).alias("asks"))
-    return members.unionByName(askers).join(sets, "node").groupBy("comp", "block", "chunk").applyInPandas(_first_links, "a bigint, b bigint")
-
-
-def _first_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Of each asking set the first member that is similar enough."""
-    asking, members, out = group[group["asks"]], group[~group["asks"]], []
-    if len(asking) and len(members):
-        sizes = np.array([len(s) for s in members["shingles"]])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        values = np.concatenate(members["shingles"].to_list())
+    whole = -(-PERCENT * (na + nb) // (100 + PERCENT))
+    shared = np.where(np.maximum(na, nb) <= K, whole, math.ceil(K * (PERCENT / 100 - SLACK) - 1e-6))
+    lone_a = np.bitwise_count(siga & ~sigb).sum(-1)
+    lone_b = np.bitwise_count(sigb & ~siga).sum(-1)
+    return sizes_alike(na, nb) & (lone_a + shared <= np.minimum(na, K)) & (lone_b + shared <= np.minimum(nb, K))
+
+
+def list_links(table: pa.Table, starts: np.ndarray, few: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of what may be alike in each list. Lists of a few nodes are compared all at once, place by place."""
+    node, n = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n"))
+    sig = np.stack([table.column(c).to_numpy() for c in SIGS], axis=1).view(np.uint64)
+    size = np.diff(np.append(starts, len(node)))
+    ends = np.repeat(starts + size, size)
+    open_rows = np.flatnonzero(np.repeat(size <= few, size))
+    from_, to = [], []
+    for d in range(1, few):
+        open_rows = open_rows[open_rows + d < ends[open_rows]]
+        if not len(open_rows):
+            break
+        other = open_rows + d
+        hit = maybe_alike(n[open_rows], n[other], sig[open_rows], sig[other])
+        from_.append(open_rows[hit])
+        to.append(other[hit])
+    for k in np.flatnonzero(size > few):
+        at = int(starts[k])
+        own_n, own_sig = n[at : at + size[k]], sig[at : at + size[k]]
+        for root, members in forest(int(size[k]), lambda i, left, n=own_n, s=own_sig: maybe_alike(n[i], n[left], s[i], s[left])):
+            from_.append(np.full(len(members), at + root))
+            to.append(at + members)
+    if not from_:
+        return node[:0], node[:0]
+    return _stars(node, np.concatenate(from_), np.concatenate(to))
+
+
+def _stars(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between rows as edges from each row to the first that it hangs together with."""
+    low = np.arange(len(node))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            moved = np.flatnonzero(low != np.arange(len(node)))
+            return node[moved], node[low[moved]]
+
+
+class Estimates:
+    """Union-sketch estimates between the sketches of one cell."""
+
+    def __init__(self, sketches: list[np.ndarray], n: np.ndarray):
+        self.n, self.kept = n, np.array([len(s) for s in sketches])
+        self.values = np.full((len(sketches), K), np.iinfo(np.int64).max)
+        for i, s in enumerate(sketches):
+            self.values[i, : len(s)] = s
+
+    def near(self, i: int, left: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(left), bool)
+        fits = np.flatnonzero(sizes_alike(self.n[i], self.n[left]))
+        own, rows = self.values[i, : self.kept[i]], self.values[left[fits]]
+        place = np.searchsorted(own, rows)
+        both = (own[np.minimum(place, len(own) - 1)] == rows) & (np.arange(K) < self.kept[left[fits]][:, None])
+        rank = place + np.arange(1, K + 1) - np.cumsum(both, axis=1) + both  # in the union
+        union = np.minimum(K, len(own) + self.kept[left[fits]] - both.sum(1))
+        out[fits] = (both & (rank <= K)).sum(1) >= (PERCENT / 100 - SLACK) * union - 1e-9
+        return out
+
+
+class Exact:
+    """Similarity of the whole sets of one cell, by an inverted index over those that are still asked about."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.size = sets, np.array([len(s) for s in sets])
+        self._index(np.arange(len(sets)))
+
+    def _index(self, ids: np.ndarray) -> None:
+        values = np.concatenate([self.sets[i] for i in ids])
         order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        for node, own in zip(asking["node"], asking["shingles"], strict=True):
-            low, high = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
-            n = high - low
-            hits = owner[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            inter = np.bincount(hits, minlength=len(sizes))
-            alike = np.flatnonzero(inter * 100 >= (sizes + len(own) - inter) * PERCENT)
-            if len(alike):
-                other = int(members["node"].iloc[alike[0]])
-                out.append((min(int(node), other), max(int(node), other)))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _small(df: DataFrame) -> DataFrame:
+        self.values, self.owner = values[order], np.repeat(np.arange(len(ids)), self.size[ids])[order]
+        self.indexed = len(ids)
+        self.slot = np.full(len(self.sets), -1)
+        self.slot[ids] = np.arange(len(ids))
+
+    def near(self, i: int, left: np.ndarray) -> np.ndarray:
+        if 2 * len(left) < self.indexed:
+            self._index(left)
+        own = self.sets[i]
+        low, high = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
+        n = high - low
+        hits = self.owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        inter = np.bincount(hits, minlength=self.indexed)[self.slot[left]]
+        return inter * 100 >= (self.size[left] + len(own) - inter) * PERCENT
+
+
+def _by_cell(table: pa.Table, starts: np.ndarray, near: Callable[[pa.Table], tuple[np.ndarray, Callable]]) -> tuple[np.ndarray, np.ndarray]:
+    """Forests of one cell after the other."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+        if end - at > 1:
+            node, asked = near(table.slice(at, end - at))
+            for root, members in forest(len(node), asked):
+                a.append(np.full(len(members), node[root]))
+                b.append(node[members])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def sketch_links(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(cell: pa.Table) -> tuple[np.ndarray, Callable]:
+        sketch = cell.column("sketch").combine_chunks()
+        values, limits = sketch.flatten().to_numpy(), np.cumsum([0, *sketch.value_lengths().to_pylist()])
+        return cell.column("node").to_numpy(), Estimates([values[x:y] for x, y in zip(limits[:-1], limits[1:], strict=True)], cell.column("n").to_numpy()).near
+
+    return _by_cell(table, starts, near)
+
+
+def set_links(words: int) -> Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    def near(cell: pa.Table) -> tuple[np.ndarray, Callable]:
+        sets = [s for *_, data, offsets in text_runs(cell.column("text").combine_chunks()) for s in shingle_sets(data, offsets, words)]
+        return cell.column("node").to_numpy(), Exact(sets).near
+
+    return lambda table, starts: _by_cell(table, starts, near)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The rows of ``wanted`` (class_id, fa, fb and others) with the text of each class, once."""
+    ids = wanted.select(F.col("class_id").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(_small(ids, wanted.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    return printed(texts, words, ["n", "fa", "fb"]).groupBy("fa", "fb").agg(F.first("text").alias("text")).join(wanted, ["fa", "fb"])
+
+
+def _small(df: DataFrame, count: int | None = None) -> DataFrame:
     """A written table of a few numbers a row, broadcast if its count allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
-def _with_comp(posts: DataFrame, comps: DataFrame) -> DataFrame:
-    return posts.join(_small(comps.select("node", F.col("comp").alias("_c"))), "node", "left").withColumn("comp", F.coalesce("_c", "node")).drop("_c")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs whose union-sketch estimate and then whose whole sets reach the similarity."""
-    small = nodes.select("node", "sketch")
-    both = pairs.join(small.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(small.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    estimate = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) / F.size(union)
-    likely = stash(both.filter(estimate >= PERCENT / 100 - SLACK).select("a", "b"), "dedup-likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stash(nodes.select("node", "class_id", "fa", "fb").join(ends, "node", "left_semi"), "dedup-wanted")
-    sets = stash(whole_sets(docs, wanted, words), "dedup-sets")
-    full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("tb")), "b")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    counted = full.select("a", "b", inter.alias("i"), (F.size("ta") + F.size("tb") - inter).alias("u"))
-    links = stash(counted.filter(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b"), "dedup-links")
-    unstash(likely, wanted, sets)
-    return links
+    return F.broadcast(df) if (df.count() if count is None else count) <= BROADCAST_IDS else df
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and comp, the smallest node that is reachable, of every linked node."""
+    """Written node and comp, the smallest node that is reachable, of every linked node."""
     both = stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "dedup-edges")
     labels = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "dedup-labels")
     while True:
-        known = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
-        reach = both.join(_small(known), "b").groupBy("a").agg(F.min("c").alias("c"))  # an edge goes both ways, so every node is here
-        jump = labels.select(F.col("node").alias("c"), F.col("comp").alias("next"))
-        moved = reach.join(_small(jump), "c").select(F.col("a").alias("node"), F.least("c", "next").alias("comp"))
-        moved = stash(moved.join(_small(labels.select("node", F.col("comp").alias("old"))), "node").select("node", F.least("comp", "old").alias("comp"), "old"), "dedup-labels")
+        known = _small(labels, labels.count())
+        reach = both.join(known.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))  # an edge goes both ways, so every node is here
+        moved = reach.join(known.select(F.col("node").alias("c"), F.col("comp").alias("next")), "c").select(F.col("a").alias("node"), F.least("c", "next").alias("comp"))
+        moved = stash(moved.join(known.select("node", F.col("comp").alias("old")), "node").select("node", F.least("comp", "old").alias("comp"), "old"), "dedup-labels")
         unstash(labels)
         labels = moved
         if moved.filter("comp <> old").limit(1).count() == 0:
             unstash(both)
-            return labels.select("node", "comp")
+            return labels
+
+
+def candidate_links(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Written spanning forests a, b of all links between nodes: by lists, then by estimates, then by whole sets."""
+    posts = postings(nodes)
+    edges = inside(celled(posts, "v", F.lit(1), LIST_CELL), "v", list_links, "dedup-listed")
+    unstash(posts)
+    groups = components(edges)
+    unstash(edges)
+    members = groups.select("node", "comp").join(nodes.select("node", "n", "sketch"), "node")
+    edges = inside(celled(members, "comp", F.lit(K), CELL), "comp", sketch_links, "dedup-estimated")
+    unstash(groups)
+    groups = components(edges)
+    unstash(edges)
+    wanted = stash(celled(groups.select("node", "comp").join(nodes.select("node", "n", "class_id", "fa", "fb"), "node"), "comp", F.col("n"), CELL), "dedup-wanted")
+    links = inside(texts_of(docs, wanted, words).select("comp", "lo", "hi", "node", "text"), "comp", set_links(words), "dedup-links")
+    unstash(groups, wanted)
+    return links
 
 
 def resolved(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, fa, fb, component_id and chosen (the row's set is the one that stands for its component) of every row; the last two are null for the empty set."""
     rows = stash(sketches(docs, words), "dedup-rows")
-    classes = rows.filter("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
+    firsts = [F.first(c).alias(c) for c in ("n", "sketch", *SIGS)]
+    classes = rows.filter("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id"), *firsts)
     nodes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
-    posts = postings(nodes)
-    links = verified(leader_pairs(posts, None, None), nodes, docs, words)
-    comps = components(links)
-    links = stash(links.unionByName(verified(leader_pairs(posts, comps, 1), nodes, docs, words)), "dedup-links")
-    comps = components(links)
-    links = links.unionByName(remaining_links(posts, comps, nodes, docs, words))
+    narrow = stash(rows.select("doc_id", "n", "fa", "fb"), "dedup-narrow")
+    unstash(rows)
+    links = candidate_links(nodes, docs, words)
     comps = components(links)
-    named = nodes.select("node", "fa", "fb", "class_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    unstash(links)
+    named = nodes.select("node", "fa", "fb", "class_id").join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = stash(named, "dedup-named")
     first = F.min(F.struct(F.col("class_id").isNull().alias("unnamed"), "class_id", "fa", "fb")).alias("first")
     least = named.groupBy("comp").agg(first).select("comp", F.col("first.class_id").alias("component_id"), F.struct("first.fa", "first.fb").alias("stands"))
     chosen = (F.struct("fa", "fb") == F.col("stands")).alias("chosen")
     by_set = stash(named.join(least, "comp").select("fa", "fb", "component_id", chosen), "dedup-components")
-    unstash(nodes, posts, named)
-    return rows.select("doc_id", "n", "fa", "fb").join(by_set, ["fa", "fb"], "left")
+    unstash(nodes, named, comps)
+    return narrow.join(by_set, ["fa", "fb"], "left")
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -357,8 +423,8 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return resolved(docs, words).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def printed(docs: DataFrame, words: int) -> DataFrame:
-    """The rows of ``docs`` with the size and fingerprint of their sets as _n, _fa and _fb."""
+def printed(docs: DataFrame, words: int, names: list[str]) -> DataFrame:
+    """The rows of ``docs`` with the size and fingerprint of their sets under three names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,10 +432,10 @@ def printed(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(data, offsets, words)
                 prints = [fingerprint(s) for s in sets]
                 own = [pa.array(v, pa.int64()) for v in ([len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints])]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *own], names=[*batch.schema.names, "_n", "_fa", "_fb"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *own], names=[*batch.schema.names, *names])
 
-    ship(docs.sparkSession)
-    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in ("_n", "_fa", "_fb")]])
+    python_ready(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in names]])
     return docs.mapInArrow(run, schema)
 
 
@@ -380,21 +446,22 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     narrow tables. Rows whose id is null or repeated get their fingerprints again; rows without words have no
     links, and only those with one id, not null, are merged.
     """
+    own_n, own_a, own_b, an_id, an_a, an_b = unused(docs, "n", "fa", "fb", "id", "a", "b")
     found = resolved(docs, words)
     stays = (F.col("n") == 0) | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id")))
     found = stash(found.select("doc_id", "n", "fa", "fb", stays.alias("stays")), "dedup-result")
     ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.min("stays").alias("stays"))
-    gone = stash(ids.filter("m = 1 AND NOT stays").select(F.col("doc_id").alias("_gone")), "dedup-gone")
-    again = stash(ids.filter("m > 1").select(F.col("doc_id").alias("_again")), "dedup-again")
-    several = F.col("doc_id") == F.col("_again")
-    once = docs.filter("doc_id IS NOT NULL").join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti").join(_small(again), several, "left_anti")
-    shared = docs.filter("doc_id IS NOT NULL").join(_small(again), several, "left_semi")
-    marked = stash(printed(shared.unionByName(docs.filter("doc_id IS NULL")), words), "dedup-shared")
+    gone = stash(ids.filter("m = 1 AND NOT stays").select(F.col("doc_id").alias(an_id)), "dedup-gone")
+    again = stash(ids.filter("m > 1").select(F.col("doc_id").alias(an_id)), "dedup-again")
+    same_id = F.col("doc_id") == F.col(an_id)
+    once = docs.filter("doc_id IS NOT NULL").join(_small(gone), same_id, "left_anti").join(_small(again), same_id, "left_anti")
+    shared = docs.filter("doc_id IS NOT NULL").join(_small(again), same_id, "left_semi")
+    marked = stash(printed(shared.unionByName(docs.filter("doc_id IS NULL")), words, [own_n, own_a, own_b]), "dedup-shared")
     if marked.limit(1).count() == 0:
         return once
-    bare = marked.filter("doc_id IS NULL AND _n = 0")
-    keys = found.filter("stays AND (doc_id IS NULL AND n > 0)").unionByName(found.filter("stays").join(_small(again), several, "left_semi"))
-    keys = stash(keys.select(F.col("doc_id").alias("_id"), F.col("fa").alias("_a"), F.col("fb").alias("_b")).distinct(), "dedup-stays")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fa") == F.col("_a")) & (F.col("_fb") == F.col("_b"))
-    rest = marked.filter("doc_id IS NOT NULL OR _n > 0").join(_small(keys), same, "left_semi").dropDuplicates(["doc_id", "_fa", "_fb"])
+    bare = marked.filter(F.col("doc_id").isNull() & (F.col(own_n) == 0))
+    keys = found.filter("stays AND (doc_id IS NULL AND n > 0)").unionByName(found.filter("stays").join(_small(again), same_id, "left_semi"))
+    keys = stash(keys.select(F.col("doc_id").alias(an_id), F.col("fa").alias(an_a), F.col("fb").alias(an_b)).distinct(), "dedup-stays")
+    same = F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(own_a) == F.col(an_a)) & (F.col(own_b) == F.col(an_b))
+    rest = marked.filter(F.col("doc_id").isNotNull() | (F.col(own_n) > 0)).join(_small(keys), same, "left_semi").dropDuplicates(["doc_id", own_a, own_b])
     return once.unionByName(rest.unionByName(bare).select(*docs.columns))

@@ -23,10 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ship
-from .shared import fold_of, text_runs
+from .shared import fold_of, python_ready, text_runs
 
 PER_LABEL = 600
 THRESHOLD = 0.3
@@ -187,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                 packed = [x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(end - at)]
                 yield pa.RecordBatch.from_arrays([pa.array(quality[at:end], pa.int32()), pa.array(packed, pa.binary())], ["quality", "lines"])
 
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     rows = texts.mapInArrow(run, "quality int, lines binary").collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["lines"])))  # the fit doesn't depend on the order of tasks
     marks = np.array([r["quality"] for r in rows])
@@ -198,28 +196,33 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     return train(np.vstack(blocks), first, marks)
 
 
-def with_score(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
-    """All columns of ``docs`` and the quality of its text under ``name``."""
-    ship(docs.sparkSession)
-    column = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.full(batch.num_rows, 0.5)
-            if model is not None:
-                for first, end, data, offsets in text_runs(batch.column(column)):
-                    out[first:end] = model.scores(data, offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+def _scored(model: Model | None, texts: pa.Array) -> np.ndarray:
+    out = np.full(len(texts), 0.5)
+    if model is not None:
+        for first, end, data, offsets in text_runs(texts):
+            out[first:end] = model.scores(data, offsets)
+    return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    scored = with_score(docs.select("doc_id", "text"), fit(docs, labels), "score")
+    model = fit(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(_scored(model, batch.column("text")), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), scores], names=["doc_id", "score"])
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose quality reaches the threshold."""
-    return with_score(docs, fit(docs, labels), "_quality").filter(F.col("_quality") >= threshold).select(*docs.columns)
+    """The rows of ``docs``, with all their columns, whose quality reaches the threshold."""
+    model, column = fit(docs, labels), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(model, batch.column(column)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import ship
+from .shared import python_ready
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -124,5 +124,5 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
                     [part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
                 )
 
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

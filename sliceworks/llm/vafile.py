@@ -29,8 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .shared import stash
+from .shared import python_ready, stash
 
 K = 20
 EVERY = 20
@@ -139,7 +138,7 @@ def _kth(score: str, k: int) -> tuple[F.Column, F.Column]:
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of every query, the rows whose vec_id is divisible by ``every``."""
-    ship(vectors.sparkSession)
+    python_ready(vectors.sparkSession)
     found = stash(classes(whole_vectors(vectors), k), "va-exact")
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     approx = stash(approximations(found).repartition(spread, "class_id"), "va-cells")

@@ -152,3 +152,35 @@ def test_pipeline_on_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_hot_lists_and_groups_in_small_blocks(spark, monkeypatch):
+    """With blocks of a few nodes, lists and groups are dealt into many cells, and no link between blocks is lost."""
+    monkeypatch.setattr(near_dedup, "LIST_CELL", 7)
+    monkeypatch.setattr(near_dedup, "CELL", 900)
+    rows = groups()
+    found = near_dedup.dedup(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS), 2).collect()
+    expected = brute(rows, 2)
+    assert all((r["n_shingles"], r["component_id"]) == expected[r["doc_id"]] for r in found) and len(found) == len(rows)
+
+
+def test_columns_with_inner_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 5, 6, 7), (None, "z", 5, 6, 7)], "doc_id bigint, text string, _id int, _N int, _fa int")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["_id"], r["_N"], r["_fa"]) for r in kept.collect()) == [(0, 5, 6, 7), (1, 5, 6, 7)]
+
+
+def test_whole_groups_over_batches():
+    import pyarrow as pa
+
+    from sliceworks.llm.shared import whole_groups
+
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5]
+    for width in (1, 2, 3, 11):
+        batches = [pa.record_batch({"k": keys[i : i + width], "x": list(range(i, min(i + width, 11)))}) for i in range(0, 11, width)]
+        found = []
+        for table, starts in whole_groups(iter(batches), ["k"]):
+            ends = [*starts[1:].tolist(), table.num_rows]
+            found += [tuple(table.column("k")[a:b].to_pylist()) for a, b in zip(starts.tolist(), ends, strict=True)]
+        assert found == [(1, 1), (2,) * 5, (3,), (4, 4), (5,)]
