@@ -1,7 +1,8 @@
 """Exact top-k search with vector-approximation files.
 
-Vectors become whole numbers, floor(64 x) a component. The approximation of a vector is, for each component, the cell
-of a grid it falls into (``CELL`` wide), a number of few bits. Three steps answer a block of queries:
+Vectors become whole numbers, floor(64 x) a component. The approximation of a vector is one byte for each component: the cell
+of a grid that it falls into. Cells are ``CELL`` wide, or wider by the least power of two, kept with the vector, with which all
+its cells fit a byte. So the file that is scanned has a byte a component. Three steps answer a block of queries:
 
 1. Scan the approximations. The inner product of a query with the middles of the cells lies within half a cell, times
    the sum of the query's absolute components, of the exact one: these are the bounds. The kth largest lower bound over
@@ -14,22 +15,28 @@ Equal vectors are one class; only the k + 1 smallest ids of a class can ever be
 query's own), so a class of any size costs no more. Queries go out in blocks of ``BLOCK``, which bounds what is
 broadcast; every block scans the approximations twice, in as many tasks as they have partitions.
 
-Cases: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as filled up
-with zeros; ties go to the smaller id; a query with fewer than k candidates gets all; rows with a query's own id aren't
-its candidates; a null id takes no part; an empty table gives an empty result.
+Numbers: while every sum stays below 2^53, doubles are exact and Spark's own functions score. If one finite vector is too long for
+that, bounds are widened by their rounding errors and scores are summed in integers of any length; they order exactly, and a score
+that no long holds is returned as the nearest long.
+
+Cases: vectors that are null, or hold a null or non-finite component, take no part; all other vectors do, however long; shorter
+vectors count as filled up with zeros; ties go to the smaller id; a query with fewer than k candidates gets all; rows with a query's
+own id aren't its candidates; of several vectors of a query's id the smallest, component by component, asks; a null id takes no part;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import python_ready, stash
+from .shared import python_ready, stash, unstash
 
 K = 20
 EVERY = 20
@@ -37,14 +44,20 @@ CELL = 2
 BLOCK = 4096
 STEP = 1024  # candidates compared at once
 SCALE = 64
+EXACT = float(1 << 53)
+LONGEST = float(1 << 62) ** 4  # components beyond, which floats don't have, count as this much
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, array<long>, of the rows that take part."""
+    """vec_id and v, whole numbers as array<double>, of the rows that take part."""
     x = F.col("embedding")
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float(1 << 40)))
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
-    return vectors.select("vec_id", F.when(fine, whole).alias("v")).filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+
+    def whole(c: Column) -> Column:
+        y = c.cast("double") * SCALE
+        return F.when(F.abs(y) < EXACT, F.floor(F.when(F.abs(y) < EXACT, y)).cast("double")).otherwise(F.greatest(F.least(y, F.lit(LONGEST)), F.lit(-LONGEST)))
+
+    return vectors.select("vec_id", F.when(fine, F.transform(x, whole)).alias("v")).filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
 
 
 def classes(rows: DataFrame, k: int = K) -> DataFrame:
@@ -55,54 +68,70 @@ def classes(rows: DataFrame, k: int = K) -> DataFrame:
 
 
 def approximations(found: DataFrame) -> DataFrame:
-    """class_id, members (how many ids are kept) and cells: for each component the number of its cell."""
-    return found.select("class_id", F.size("ids").alias("members"), F.transform("v", lambda c: F.floor(c / CELL).cast("int")).alias("cells"))
+    """class_id, members (how many ids are kept), width of a cell, and cells: a byte for each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, cells = [], []
+            for v in _vectors(batch.column("v")):
+                width = float(CELL)
+                while len(v) and (v.min() < -128 * width or v.max() >= 128 * width):
+                    width *= 2
+                widths.append(width)
+                cells.append(np.floor(v / width).astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("members"), pa.array(widths, pa.float64()), pa.array(cells, pa.binary())], ["class_id", "members", "width", "cells"])
+
+    return found.select("class_id", F.size("ids").alias("members"), "v").mapInArrow(run, "class_id bigint, members int, width double, cells binary")
 
 
-def _padded(column: pa.Array, dims: int) -> np.ndarray:
-    lens = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(lens) and (lens == dims).all():
-        return flat.reshape(len(lens), dims)
-    out = np.zeros((len(lens), dims))
-    out[np.arange(dims)[None, :] < lens[:, None]] = flat
-    return out
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    limits = np.cumsum([0, *column.value_lengths().to_pylist()])
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
 
 
-def _products(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Runs of approximations with twice the inner products of all queries (rows) and their middles: whole numbers, exact in the chosen type."""
-    dims = q.shape[1]
+def _products(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of approximations with twice the lower and twice the upper bounds of the inner products of all queries (rows) with them."""
+    dims, reach = q.shape[1], np.abs(q).sum(1)
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
             part = batch.slice(at, STEP)
-            cells = _padded(part.column("cells"), dims)
-            lens = np.diff(part.column("cells").offsets.to_numpy())
-            middles = np.where(np.arange(dims)[None, :] < lens[:, None], cells * (2 * CELL) + (CELL - 1), 0)
-            small = np.abs(q).sum(1).max(initial=0) * np.abs(middles).max(initial=0) < 1 << 24
-            kind = np.float32 if small else np.float64
-            yield part, q.astype(kind) @ middles.T.astype(kind)
+            raw = part.column("cells").to_pylist()
+            cells = np.zeros((len(raw), dims))
+            for i, c in enumerate(raw):
+                cells[i, : len(c)] = np.frombuffer(c, np.int8)
+            there = np.arange(dims)[None, :] < np.array([len(c) for c in raw])[:, None]
+            width = part.column("width").to_numpy()
+            middles = np.where(there, cells * (2 * width[:, None]) + (width[:, None] - 1), 0)
+            most = reach.max(initial=0) * np.abs(middles).max(initial=0)
+            kind = np.float32 if most < 1 << 24 else np.float64
+            twice = (q.astype(kind) @ middles.T.astype(kind)).astype(np.float64)
+            gap = reach[:, None] * (width - 1)[None, :]
+            if most >= EXACT / 4:  # sums are rounded
+                gap = gap * (1 + 1e-9) + (np.abs(q) @ np.abs(middles).T) * ((dims + 4) * 2.0**-51)
+            yield part, twice - gap, twice + gap
 
 
 def thresholds(approx: DataFrame, shared: Broadcast, k: int) -> dict[int, float]:
-    """For each query the (k + 1)th largest doubled product with middles; queries with fewer vectors have none."""
+    """For each query twice the (k + 1)th largest lower bound; queries with fewer vectors have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best = np.full((len(q), k + 1), -np.inf)
-        for part, twice in _products(batches, q):
-            several = np.minimum(part.column("members").to_numpy(), k + 1)
-            if several.max(initial=1) > 1:  # a class counts as often as it has members
-                twice = twice[:, np.repeat(np.arange(len(several)), several)]
-            size = min(k + 1, twice.shape[1])
-            if size:
-                largest = np.partition(twice, twice.shape[1] - size, axis=1)[:, -size:]
-                best = np.sort(np.concatenate([best, largest], axis=1), axis=1)[:, -(k + 1) :]
-        row, column = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[row, column])], ["query_id", "twice"])
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("twice")))
-    found = approx.mapInArrow(run, "query_id bigint, twice double").withColumn("_r", rank).filter(F.col("_r") == k + 1).collect()  # a row a query
-    return {r["query_id"]: r["twice"] for r in found}
+        best, several = np.full((len(q), k + 1), -np.inf), np.zeros((len(q), k + 1), np.int64)
+        for part, low, _ in _products(batches, q):
+            members = np.broadcast_to(part.column("members").to_numpy().astype(np.int64), low.shape)
+            if low.shape[1] > k + 1:  # a class has a member at least, so k + 1 classes are enough
+                some = np.argpartition(low, low.shape[1] - k - 1, axis=1)[:, -(k + 1) :]
+                low, members = np.take_along_axis(low, some, 1), np.take_along_axis(members, some, 1)
+            best, several = np.concatenate([best, low], axis=1), np.concatenate([several, members], axis=1)
+            order = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
+            best, several = np.take_along_axis(best, order, 1), np.take_along_axis(several, order, 1)
+        row, column = np.nonzero(several)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[row, column]), pa.array(several[row, column])], ["query_id", "low", "members"])
+
+    so_far = F.sum("members").over(Window.partitionBy("query_id").orderBy(F.desc("low")))  # k + 1 rows a query and task
+    found = approx.mapInArrow(run, "query_id bigint, low double, members bigint").withColumn("_n", so_far).filter(F.col("_n") >= k + 1)
+    return {r["query_id"]: r["low"] for r in found.groupBy("query_id").agg(F.max("low").alias("low")).collect()}  # a row a query
 
 
 def survivors(approx: DataFrame, queries: list, dims: int, k: int) -> DataFrame:
@@ -118,22 +147,34 @@ def survivors(approx: DataFrame, queries: list, dims: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = shared.value
-        gap = np.abs(q).sum(1) * (CELL - 1)  # doubled, of the bounds from the middle
-        floor = (limits.value - 2 * gap)[:, None]
-        for part, twice in _products(batches, q):
-            qi, ci = np.nonzero(twice >= floor)
-            high = (twice[qi, ci] + gap[qi]) / 2
+        for part, _, high in _products(batches, q):
+            qi, ci = np.nonzero(high >= limits.value[:, None])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[qi]), pa.array(part.column("class_id").to_numpy()[ci], pa.int64()), pa.array(part.column("members").to_numpy()[ci], pa.int32()), pa.array(high, pa.float64())], ["query_id", "class_id", "members", "high"]
+                [pa.array(query_ids[qi]), pa.array(part.column("class_id").to_numpy()[ci], pa.int64()), pa.array(part.column("members").to_numpy()[ci], pa.int32()), pa.array(high[qi, ci] / 2, pa.float64())], ["query_id", "class_id", "members", "high"]
             )
 
     return approx.mapInArrow(run, "query_id bigint, class_id bigint, members int, high double")
 
 
-def _kth(score: str, k: int) -> tuple[F.Column, F.Column]:
-    """For each query the score that k other vectors are sure to reach: members are counted from the largest score on, one more than k, as one may be the query's own."""
-    so_far = F.sum("members").over(Window.partitionBy("query_id").orderBy(F.desc(score), "class_id"))
-    return F.max(F.when(F.col("_so_far") >= k + 1, F.col(score))).over(Window.partitionBy("query_id")), so_far
+def _long_scores(pairs: DataFrame) -> DataFrame:
+    """Scores of vectors of any length: the nearest long, a double that is not above, and bytes that order as the score does."""
+    half, most = 1 << 1023, (1 << 63) - 1
+    names = ["query_id", "class_id", "members", "ids", "score", "low", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact = [sum(int(a) * int(b) for a, b in zip(x, y, strict=False)) for x, y in zip(_vectors(batch.column("q")), _vectors(batch.column("v")), strict=True)]
+            columns = [pa.array([max(-most - 1, min(most, s)) for s in exact], pa.int64()), pa.array([math.nextafter(float(s), -math.inf) for s in exact]), pa.array([(s + half).to_bytes(128, "big") for s in exact], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], *columns], names)
+
+    return pairs.select(*names[:4], "q", "v").mapInArrow(run, "query_id bigint, class_id bigint, members int, ids array<bigint>, score bigint, low double, key binary")
+
+
+def _short_scores(pairs: DataFrame) -> DataFrame:
+    """The same while doubles are exact, by Spark's functions: the score is its own key."""
+    exact = F.aggregate(F.arrays_zip(F.col("q").alias("a"), F.col("v").alias("b")), F.lit(0.0), lambda s, x: s + F.coalesce(x["a"], F.lit(0.0)) * F.coalesce(x["b"], F.lit(0.0)))
+    score = exact.cast("long")
+    return pairs.select("query_id", "class_id", "members", "ids", score.alias("score"), exact.alias("low"), score.alias("key"))
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -141,36 +182,42 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOC
     python_ready(vectors.sparkSession)
     found = stash(classes(whole_vectors(vectors), k), "va-exact")
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    approx = stash(approximations(found).repartition(spread, "class_id"), "va-cells")
-    dims = found.agg(F.max(F.size("v"))).first()[0] or 0
-    asked = stash(whole_vectors(vectors).filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "va-queries")
+    approx = stash(approximations(found.repartition(spread, "class_id")), "va-cells")
+    largest = F.max(F.greatest(F.array_max(F.transform("v", lambda c: F.abs(c))), F.lit(0.0)))
+    seen = found.agg(F.max(F.size("v")).alias("dims"), largest.alias("most")).first()
+    dims, short = seen["dims"] or 0, (seen["dims"] or 0) * (seen["most"] or 0.0) ** 2 < EXACT
+    asked = whole_vectors(vectors).filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = stash(asked, "va-queries")
     blocks = max(1, -(-asked.count() // block))
     results = None
     for b in range(blocks):  # a block's queries are a bounded hash share of all
         mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        one = _answer(found, approx, mine, dims, k)
+        one = _answer(found, approx, mine, dims, k, short)
         results = one if results is None else results.unionByName(one)
+    unstash(approx)
     return results
 
 
-def _answer(found: DataFrame, approx: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
+def _answer(found: DataFrame, approx: DataFrame, queries: DataFrame, dims: int, k: int, short: bool) -> DataFrame:
     rows = queries.collect()
     bounds = stash(survivors(approx, rows, dims, k), "va-bounds")
     ahead = F.sum("members").over(Window.partitionBy("query_id").orderBy(F.desc("high"), "class_id"))
     ordered = stash(bounds.withColumn("ahead", ahead - F.col("members")), "va-order")
+    unstash(bounds)
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    exact = F.aggregate(F.arrays_zip(F.col("q").alias("a"), F.col("v").alias("b")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["a"], F.lit(0)) * F.coalesce(x["b"], F.lit(0)))
 
     def read(some: DataFrame) -> DataFrame:
-        return some.join(found.select("class_id", "v", "ids"), "class_id").join(F.broadcast(asked), "query_id").select("query_id", "class_id", "members", "ids", exact.alias("score"))
+        pairs = some.join(found.select("class_id", "v", "ids"), "class_id").join(F.broadcast(asked), "query_id")
+        return _short_scores(pairs) if short else _long_scores(pairs)
 
     first = stash(read(ordered.filter(F.col("ahead") <= k)), "va-first")
-    certain, so_far = _kth("score", k)
-    kth = first.withColumn("_so_far", so_far).withColumn("_kth", certain).groupBy("query_id").agg(F.max("_kth").alias("kth"))
+    # the score that k other vectors are sure to reach: one more than k members, as one may be the query's own
+    so_far = F.sum("members").over(Window.partitionBy("query_id").orderBy(F.desc("key"), "class_id"))
+    kth = first.withColumn("_so_far", so_far).groupBy("query_id").agg(F.max(F.when(F.col("_so_far") >= k + 1, F.col("low"))).alias("kth"))
     rest = ordered.filter(F.col("ahead") > k).join(F.broadcast(kth), "query_id").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).drop("kth")
     scored = first.unionByName(read(rest))
-    each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    each = scored.select("query_id", "score", "key", F.explode("ids").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,5 +1,6 @@
 """Near-duplicates, top-k search and the pipeline, against brute force."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -118,6 +119,25 @@ def test_top_k(spark):
     assert len(found) == len(expected) and set(found) == expected
 
 
+def test_top_k_of_long_vectors(spark):
+    """Components of 2^40 and more, of floats' largest, and of repeated query ids take part; order is exact."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(0, 1, 4) * 10.0 ** rng.integers(0, 14, 4)).astype(np.float32).tolist()) for i in range(80)]
+    rows += [(100, [1e13, 0.0]), (101, [float(2**41), 1.0]), (102, [3e38, -3e38, 1.0]), (103, [-3e38]), (104, [1e13, 0.0, 0.0, 0.0]), (40, [0.25, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    whole = [(i, [math.floor(float(np.float32(x)) * 64) for x in v]) for i, v in rows]
+    queries = {}
+    for i, v in whole:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    expected = set()
+    for q, v in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in whole if i != q)[:20]
+        expected |= {(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)}
+    found = [tuple(r) for r in vafile.search(frame).collect()]
+    assert set(found) == expected and len(found) == len(expected)
+
+
 def test_top_k_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in vafile.search(few).collect()] == [(0, 1, 1, 64 * 128)]
