@@ -3,8 +3,8 @@
 Texts become lower-case letters, everything else one separator; n-grams of 1 to 3 characters are hashed into ``BINS``
 bins. A document's features are each bin's share of its n-grams times the bin's inverse document frequency, which is
 counted over all rows that may be learned from. The weights are trained with follow-the-regularised-leader and an
-elastic net (L1 keeps them sparse), on at most ``PER_LANGUAGE`` documents a language, those with the smallest hashes of
-their ids, for at most ``LANGUAGES`` languages, the most frequent. A fifth of that sample isn't trained on: it fixes
+elastic net (L1 keeps them sparse), on at most ``PER_LANGUAGE`` rows a language, those with the smallest hashes of
+id and text, and ``SAMPLE`` rows in all: with more languages than fit, each gives fewer, one at least. A fifth of that sample isn't trained on: it fixes
 the temperature by which the scores are divided. Prediction reads every whole text once, without a shuffle; it adds
 whole numbers, so neither batches nor order change a score.
 
@@ -15,6 +15,7 @@ never enter a prediction.
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold_of, python_ready, text_runs
+from .shared import fold_of, python_ready, stash, text_runs, unstash
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 15
 PER_LANGUAGE = 400
-LANGUAGES = 256
+SAMPLE = 51_200
 EPOCHS = 4
 BATCH = 8
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
@@ -136,13 +137,22 @@ def document_frequencies(learnable: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BINS], int(out[BINS])
 
 
-def sample(learnable: DataFrame, per_language: int, languages: int) -> list:
-    """Rows lang, key, bins and counts of the bounded sample."""
-    narrow = learnable.select("doc_id", "lang")
-    frequent = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = narrow.join(F.broadcast(frequent), "lang", "left_semi").withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("doc_id").distinct()
-    chosen = learnable.join(F.broadcast(ids), "doc_id", "left_semi")  # at most per_language * languages ids
+def sample(learnable: DataFrame, per_language: int, most: int) -> list:
+    """Rows lang, key, bins and counts of the bounded sample: ``per_language`` rows a language, or fewer, so that ``most`` are enough for all.
+
+    A language's counted rows tell below which hash its sample lies; only rows below it are ranked, so what is ranked doesn't grow.
+    """
+    keyed = learnable.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
+    known = keyed.select("lang", "key")
+    counts = stash(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    each = max(1, min(per_language, most // max(1, counts.count())))
+    room = each + 10 * math.sqrt(each) + 20
+    limits = counts.orderBy(F.desc("n"), "lang").limit(most).select("lang", (F.lit(room) / F.col("n")).alias("share"))
+    below = F.shiftrightunsigned("key", 11) / float(1 << 53) < F.col("share")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    few = known.join(F.broadcast(limits), "lang").filter(below).select("lang", "key").distinct()
+    ids = few.withColumn("_rank", rank).filter(F.col("_rank") <= each).select("lang", "key")
+    chosen = keyed.join(F.broadcast(ids), ["lang", "key"], "left_semi")  # ``most`` keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,13 +167,15 @@ def sample(learnable: DataFrame, per_language: int, languages: int) -> list:
                     counts.append(c.astype("<i4").tobytes())
                 yield pa.RecordBatch.from_arrays([lang.slice(first, end - first), key.slice(first, end - first), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "key", "bins", "counts"])
 
-    rows = chosen.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "lang string, key bigint, bins binary, counts binary").collect()
+    found = chosen.select("lang", "key", "text").mapInArrow(run, "lang string, key bigint, bins binary, counts binary")
+    rows = found.groupBy("lang", "key").agg(F.first("bins").alias("bins"), F.first("counts").alias("counts")).collect()  # equal rows are one
+    unstash(counts)
     return sorted(rows, key=lambda r: (r["key"], r["lang"]))
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights (bins x classes) and bias by follow-the-regularised-leader on rows (class, bins, features)."""
-    w, z, n = (np.zeros((BINS + 1, classes)) for _ in range(3))
+    w, z, n = (np.zeros((BINS + 1, classes), np.float32) for _ in range(3))
     for _ in range(EPOCHS):
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
@@ -198,11 +210,11 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(min(np.geomspace(0.1, 10, 81), key=loss))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE) -> Model | None:
     """Learn from rows with a language outside the held-out fold (crc32 of the id, modulo 3, is 1)."""
     python_ready(docs.sparkSession)
     learnable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
-    rows = sample(learnable, per_language, languages)
+    rows = sample(learnable, per_language, most)
     names = sorted({r["lang"] for r in rows})
     if not names:
         return None
@@ -223,7 +235,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     model = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS * LANGUAGES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS weights a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

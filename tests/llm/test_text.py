@@ -167,6 +167,21 @@ def test_languages_of_odd_rows(spark):
     assert langid.identify(odd(spark).limit(0)).count() == 0
 
 
+def test_many_languages_and_one_repeated_row(spark):
+    """300 languages are all learned; a row that is there a thousand times counts once in the sample."""
+    rng = random.Random(4)
+
+    def word(k):
+        return chr(0x4E00 + 7 * k) + rng.choice("abcdef") + chr(0x4E00 + 7 * k + 1 + rng.randrange(5))
+
+    rows = [(k * 10 + i, " ".join(word(k) for _ in range(30)), f"l{k}") for k in range(300) for i in range(6)]
+    rows += [(7, "always the same row", "l0")] * 1000
+    docs = spark.createDataFrame([(i, t, k, "s", "x", 1) for i, t, k in rows], DOCS).repartition(4)
+    found = langid.identify(docs).filter("held_out").join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert len({r["lang_pred"] for r in found if r["doc_id"] != 7}) > 0.95 * len({r["lang"] for r in found}) > 250
+    assert sum(r["lang_pred"] == r["lang"] for r in found) > 0.9 * len(found)
+
+
 def test_training_finds_separable_classes():
     rng = np.random.default_rng(1)
     rows = [(c, np.arange(c * 50, c * 50 + 40), rng.random(40) + 1) for c in range(3) for _ in range(20)]
