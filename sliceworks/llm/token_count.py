@@ -4,7 +4,7 @@ A text of at most ``CHUNK`` bytes is encoded as it is. A longer one is cut into
 each encoded alone. Two neighbours are spliced at a byte where both encodings have a token boundary and which is
 proven stable: a blank after a non-blank. No piece of the vocabulary holds a blank after another character (this is
 checked when the model loads), so no merge ever spans such a byte, and what lies right of it is encoded alike whatever
-lies left. If the overlap has no such byte, it is widened, at last to the rest of the text.
+lies left. If the overlap has no such byte, it is widened; where a whole chunk has none, the chunk grows once, to the next such byte.
 
 Offsets come from the pieces' lengths in bytes, so nothing but ids leaves the tokenizer. A literal U+2581 gives the same
 pieces as a blank (checked when the model loads), so a long text is cut with blanks in its place. Where the lengths
@@ -16,6 +16,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 BLANK = "▁"  # how pieces spell a blank
 
 
+_STABLE = re.compile(rb"[^ ] ")
+
+
 class _UnknownOffsets(Exception):
     """The pieces' lengths don't add up to the bytes of a chunk."""
 
@@ -68,7 +72,12 @@ class Counter:
         total, start, end = 0, 0, _cut(raw, chunk)
         left = self.ends(raw, start, end, False)
         while end < len(raw):
-            wide = overlap
+            last = _last_stable(raw, start + 1, end)
+            if last is None:  # nothing to splice at: this stretch grows to the next stable byte and is encoded again as one
+                end = _cut(raw, min(len(raw), _next_stable(raw, end) + overlap))
+                left = self.ends(raw, start, end, start > 0)
+                continue
+            wide = max(overlap, end - last + 8)
             while True:
                 begin = _cut(raw, max(start, end - wide))
                 new_end = _cut(raw, max(begin + chunk, end + overlap))
@@ -103,6 +112,21 @@ class Counter:
         return [len(r) for r in raws], out
 
 
+def _last_stable(raw: bytes, low: int, high: int) -> int | None:
+    """The last blank after a non-blank in raw[low:high]."""
+    blank = raw.rfind(b" ", low, high)
+    if blank < 0:
+        return None
+    at = low + len(raw[low : blank + 1].rstrip(b" "))
+    return at if at > low else None
+
+
+def _next_stable(raw: bytes, at: int) -> int:
+    """The first such blank from ``at`` on, or the end."""
+    found = _STABLE.search(raw, at - 1)
+    return found.start() + 1 if found else len(raw)
+
+
 def _cut(raw: bytes, at: int) -> int:
     """The first place from ``at`` on that does not split a character."""
     at = min(at, len(raw))

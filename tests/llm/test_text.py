@@ -57,8 +57,20 @@ def test_counts_with_literal_blank_marks(counter):
     assert wrong == []
 
 
+def test_counts_without_blanks_are_spliced_once(counter, monkeypatch):
+    """A text of a megabyte with few blanks or none: right, and each byte is encoded a few times at most."""
+    rng, encoded = random.Random(6), []
+    run = "".join(rng.choice("abcdefgh日") for _ in range(700_000))
+    ends = token_count.Counter.ends
+    monkeypatch.setattr(token_count.Counter, "ends", lambda self, raw, start, end, stable: encoded.append(end - start) or ends(self, raw, start, end, stable))
+    for text in (run, run[:300_000] + " " + run[300_000:], run[:20_000] + "▁" * 9000 + run[20_000:90_000], "a " + run[:100_000] + " b " * 30_000):
+        encoded.clear()
+        assert counter.counts([text])[1] == [len(counter.model.encode(text))]
+        assert sum(encoded) < 3 * len(text.encode())
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=" a bcé\n日x.", max_size=400))
+@given(st.text(alphabet=" a bcé\n日x.▁", max_size=400))
 def test_counts_of_any_text(counter_text):
     counter = _kept(lambda: token_count.Counter(tokenizer_file("piece_bpe_32k.model")))
     assert counter.counts([counter_text], 32, 4)[1] == [len(counter.model.encode(counter_text))]
