@@ -1,6 +1,7 @@
 """Mixing, slots and personal data: brute force, edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -133,6 +134,34 @@ def test_redaction(spark):
     assert pii.redact(docs(spark, [])).count() == 0 and pii.find(docs(spark, [])).count() == 0
 
 
+def iban(country, digits):
+    number = "".join(str(int(c, 36)) for c in f"{digits}{country}00")
+    return f"{country}{98 - int(number) % 97:02d}{digits}"
+
+
+def test_added_spans_against_known_ones(spark):
+    """Planted spans of added kinds and decoys that look like them: most of what is accepted is right, most of what is right is accepted."""
+    rng = random.Random(11)
+    planted, decoys = [], []
+    for _ in range(300):
+        secret = "".join(rng.choice("abcdef0123456789") for _ in range(24))
+        planted += [f'my token = "{secret}"', f"social {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", "iban " + iban("DE", f"{rng.randrange(10**17, 10**18)}"), f"call ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"]
+        decoys += ["secret: aaaaaa", f"part no {rng.choice(['000', '666', '900'])}-00-0000", f"model XX{rng.randrange(10, 99)} ABCD 1234 EFGH", f"isbn 111 111 {rng.choice(['1111', '1110'])}"]
+    rows = [(i, f"some words {t} and others", "s") for i, t in enumerate(planted + decoys)]
+    found = {r["doc_id"]: r["n_spans"] for r in pii.find(docs(spark, rows)).collect()}
+    right, wrong = sum(found[i] > 0 for i in range(len(planted))), sum(found[i] > 0 for i in range(len(planted), len(rows)))
+    assert right > 0.95 * len(planted) and wrong < 0.1 * len(decoys)
+    each = [sum(found[i] > 0 for i in range(k, len(planted), 4)) for k in range(4)]
+    assert min(each) > 250
+
+
+def test_columns_pass_through(spark):
+    frame = spark.createDataFrame([(1, "a@b.com", 5, "r", None), (2, None, None, "q", 3)], "doc_id bigint, text string, spans int, row string, n_chars int")
+    out = {r["doc_id"]: r for r in pii.redact(frame).collect()}
+    assert pii.redact(frame).columns == frame.columns
+    assert tuple(out[1]) == (1, "<email>", 5, "r", None) and tuple(out[2]) == (2, None, None, "q", 3)
+
+
 def test_em_learns_reliabilities():
     good, bad = ("email", (1, 1, 1, 1, 1), 1), ("email", (0, -1, -1, 0, -1), 1)
     posterior = pii.reliabilities({good: 500, bad: 300})
