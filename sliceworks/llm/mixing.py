@@ -9,7 +9,8 @@ that it has at most ``BROADCAST_SOURCES`` rows, else by a shuffled join, whose h
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; a source without words has target
 and rate 0, so its documents are not taken; repeated rows share their draw; a null id draws as the text 'null'; an
-empty table gives an empty result. Internal columns start with ``_mix_`` and are dropped.
+empty table gives an empty result; other columns of any name pass through. Sources are ordered in one task, as a table of one
+short row a source; documents never are.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
 
 
-def source_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row a source: source, source_size, target and rate.
+def source_rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row a source: source, source_size, target and rate, from rows of source and size.
 
     Sources in code-point order, null last, weigh ``weights``, repeating. They share all words by weight; a share stops
     at ``cap`` times its source's size, and the excess goes to the others by weight. In order of size over weight the
     sources that stop come first, so one pass of prefix sums decides who stops, in whole numbers.
     """
-    sizes = docs.select("source", word_count(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     picks = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]), (rank % len(weights) + 1).cast("int"))
     filling = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
@@ -54,34 +55,31 @@ def source_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = C
     )
 
 
-def draw(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """The documents with ``_mix_copies``, ``_mix_source_size`` and ``_mix_target``."""
-    rates = stash(rates, "mix-rates")
-    rates = rates.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"))
+def draw(rows: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
+    """``rows``, which have a doc_id and a source, with source_size, target and copies."""
+    rates = stash(rates, "mix-rates").withColumnRenamed("source", "of")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    whole = F.floor("_mix_rate")
-    copies = (whole + (uniform < F.col("_mix_rate") - whole).cast("int")).cast("int")
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_mix_source"]))
-    return joined.withColumn("_mix_copies", copies).drop("_mix_source", "_mix_rate")
+    copies = F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("int")
+    return rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("int")).drop("of", "rate")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as it is taken."""
-    drawn = draw(docs, source_rates(docs, weights, cap), seed).filter("_mix_copies > 0")
-    again = drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return again.select(*[again[c] for c in docs.columns])
+    rates = source_rates(docs.select("source", word_count(F.col("text")).alias("size")), weights, cap)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"))
+    drawn = draw(rows, rates, seed).filter("copies > 0")
+    again = drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target and taken."""
-    docs = docs.select("doc_id", "source", "text")
-    drawn = draw(docs, source_rates(docs)).withColumn("size", word_count(F.col("text")))
-    return drawn.select(
-        "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * F.col("_mix_copies")).cast("long").alias("taken")
-    )
+    """What the mix takes of each document: doc_id, size, source_size, target and taken. Words are counted once, into a narrow table."""
+    sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    drawn = draw(sized, source_rates(sized))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 REPORT_SQL = r"""

@@ -2,7 +2,9 @@
 
 A record's hash puts it into one of ``SLOTS`` virtual slots, for ever. Bytes and rows are summed by slot; a map deals
 the slots, largest first, each to the shard with the fewest bytes so far. The map is a small table with a version,
-which rebalancing edits: records never change their slot, only some slots change their shard.
+which rebalancing edits: records never change their slot, only some slots change their shard. The map is stored; placing
+records reads the stored version. Where a map is stored already, ``shard`` appends a next version, in which only as many
+slots move as the new loads ask for.
 
 The map has ``SLOTS`` rows whatever the input, so it is dealt out within one row and broadcast. Nothing else gathers:
 sums by slot are combined before the shuffle, and positions are counted within a slot and offset by the map.
@@ -13,10 +15,12 @@ slot and get positions of their own; an empty table gives an empty result, and t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import exists, shared_dir, stash
 
 SLOTS = 4096
 SHARDS = 40
@@ -86,15 +90,22 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """The rows with their shard and their position in it, without gaps from 0."""
     starts = F.sum("n_rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = slot_map.select("virtual_slot", "shard", F.coalesce(starts, F.lit(0)).alias("_start"))
+    ranges = slot_map.select("virtual_slot", "shard", "version", F.coalesce(starts, F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     placed = rows.withColumn("_within", within).join(F.broadcast(ranges), "virtual_slot")
     return placed.withColumn("slot", (F.col("_start") + F.col("_within") - 1).cast("long")).drop("_start", "_within")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Every row of ``docs`` placed by a first map: doc_id, size, text_crc32, law, shard, slot, grown_shard and virtual_slot."""
+def next_version(loads: DataFrame, shards: int, path: str) -> DataFrame:
+    """Store the first map, or the next version of the stored one for these loads, and read it back."""
+    spark = loads.sparkSession
+    save_map(rebalance(load_map(spark, path), loads, shards) if exists(spark, path) else first_map(loads, shards), path)
+    return load_map(spark, path)
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """Every row of ``docs`` placed by the stored map: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot and map_version. ``map_path``: where the map is stored; by default a new one in the shared folder."""
     rows = stash(hashed(docs, slots), "slot-rows")
-    slot_map = stash(first_map(slot_loads(rows, slots), shards), "slot-map")
-    placed = place(rows, slot_map)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    path = map_path or f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
+    placed = place(rows, next_version(slot_loads(rows, slots), shards, path))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
