@@ -59,14 +59,14 @@ def usage_snapshot(slices: DataFrame, objects: DataFrame) -> DataFrame:
 
 def unavailable_recomputed(objects: DataFrame, slices: DataFrame, volumes: DataFrame) -> DataFrame:
     """Objects whose distinct unreadable data volumes and distinct unreadable parity volumes together outnumber their parity slices."""
-    down = F.broadcast(volumes.filter(~S.readable()).select("volume_id"))
+    down = volumes.filter(~S.readable()).select("volume_id")
     lost = slices.join(down, "volume_id").select("object_id", "slice_type", "volume_id").distinct().groupBy("object_id").agg(F.count(F.lit(1)).alias("lost"))
     return objects.join(lost, "object_id").filter(F.col("lost") > F.col("parity_n"))
 
 
 def unavailable_incremental(objects: DataFrame, slices: DataFrame, volumes: DataFrame) -> DataFrame:
     """Objects with fewer slices on readable volumes, each counted, than data slices."""
-    up = F.broadcast(volumes.filter(S.readable()).select("volume_id"))
+    up = volumes.filter(S.readable()).select("volume_id")
     there = slices.join(up, "volume_id").groupBy("object_id").agg(F.count(F.lit(1)).alias("there"))
     return objects.join(there, "object_id", "left").filter(F.coalesce("there", F.lit(0)) < F.col("data_n"))
 
@@ -159,6 +159,6 @@ def utilisation(volumes: DataFrame) -> DataFrame:
 
 def domain_load(slices: DataFrame, volumes: DataFrame, moving: int | None = None) -> DataFrame:
     """Slices of each object by failure domain, without those on a volume that is being emptied."""
-    domains = F.broadcast(volumes.select("volume_id", S.failure_domain(F.col("device_group"), F.col("volume_id")).alias("domain")))
+    domains = volumes.select("volume_id", S.failure_domain(F.col("device_group"), F.col("volume_id")).alias("domain"))
     kept = slices if moving is None else slices.filter(F.col("volume_id") != moving)
     return kept.join(domains, "volume_id", "left").groupBy("object_id", F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(F.count(F.lit(1)).alias("load"))

@@ -60,7 +60,7 @@ def repairable(faults: DataFrame, volumes: DataFrame) -> DataFrame:
 
     faults: key, volume_id, status, reason, last_attempt, blocked_at, last_seen, now.
     """
-    targets = F.broadcast(volumes.select(F.col("volume_id").alias("_v"), (S.writable() & ~F.col("deleted")).alias("_w")))
+    targets = volumes.select(F.col("volume_id").alias("_v"), (S.writable() & ~F.col("deleted")).alias("_w"))
     since = F.coalesce("last_attempt", "blocked_at", "last_seen")
     waited = F.col("now").cast("timestamp").cast("long") - since.cast("timestamp").cast("long") >= RETRY_SECONDS
     verdict = (

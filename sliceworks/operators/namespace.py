@@ -1,45 +1,51 @@
 """The container tree: roots, paths, buckets, listings. A container with no parent is a bucket.
 
 Walks double their step each round (a container's pointer becomes its pointer's pointer), so a tree of depth d takes
-log2(d) joins; every round is a written table, and cycles end because no pointer of theirs ever reaches a root.
+log2(d) joins, however deep it is; every round is a written table. A round in which no container reaches its top leaves only
+cycles and what hangs below them, since of what is still on its way the nearest always arrives; so walks end by themselves.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 12  # depth 4096
+from ..session import shared_folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """The rows, written to the session's checkpoint folder."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/sliceworks-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/sliceworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def roots(containers: DataFrame) -> DataFrame:
-    """id, root_id (null for orphans, cycles and what hangs below them) and top_id, the highest known ancestor (null only for cycles)."""
+def climbed(containers: DataFrame, named: bool = False) -> DataFrame:
+    """id, top (the highest known ancestor, null for cycles and what hangs below them), depth below it, from 1 on, and, if ``named``, the path of names from it down."""
     known = containers.select(F.col("id").alias("_id"))
-    state = containers.join(known, containers["parent_id"] == F.col("_id"), "left").select(
-        "id", F.when(F.col("_id").isNotNull(), F.col("parent_id")).alias("up")
-    )
-    state = materialise(state.select("id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("top")))
-    for _ in range(MAX_ROUNDS):
-        if state.filter("top IS NULL").limit(1).count() == 0:
-            break
-        above = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("top").alias("_top"))
-        stepped = state.join(above, state["up"] == F.col("_id"), "left").select("id", F.when(F.col("top").isNotNull(), None).otherwise(F.col("_up")).alias("up"), F.coalesce("top", "_top").alias("top"))
-        stepped = materialise(stepped)
-        if stepped.filter("top IS NULL").count() == state.filter("top IS NULL").count() and stepped.exceptAll(state).limit(1).count() == 0:
+    name = F.concat(F.lit("/"), F.col("name")) if named else F.lit("")
+    found = F.col("_id").isNotNull()
+    state = containers.join(known, containers["parent_id"] == F.col("_id"), "left").select("id", F.when(found, F.col("parent_id")).alias("up"), F.when(~found, F.col("id")).alias("top"), F.lit(1).cast("bigint").alias("depth"), name.alias("path"))
+    state = materialise(state)
+    open_rows = state.filter("top IS NULL").count()
+    while open_rows:
+        above = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        going = state.filter("top IS NULL").join(above, F.col("up") == F.col("_id"))
+        moved = going.select("id", F.when(F.col("_top").isNull(), F.col("_up")).alias("up"), F.col("_top").alias("top"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", "path").alias("path"))
+        state = materialise(state.filter("top IS NOT NULL").unionByName(moved))
+        left = state.filter("top IS NULL").count()
+        if left == open_rows:
             break
-        state = stepped
+        open_rows = left
+    return state.select("id", "top", "depth", *(["path"] if named else []))
+
+
+def roots(containers: DataFrame) -> DataFrame:
+    """id, root_id (null for orphans, cycles and what hangs below them) and top_id, the highest known ancestor (null only for cycles)."""
     bucket = containers.filter(F.col("parent_id").isNull()).select(F.col("id").alias("_root"))
-    return state.join(bucket, state["top"] == F.col("_root"), "left").select("id", F.col("_root").alias("root_id"), F.col("top").alias("top_id"))
+    return climbed(containers).join(bucket, F.col("top") == F.col("_root"), "left").select("id", F.col("_root").alias("root_id"), F.col("top").alias("top_id"))
 
 
 def backfill_buckets(containers: DataFrame) -> DataFrame:
@@ -47,17 +53,10 @@ def backfill_buckets(containers: DataFrame) -> DataFrame:
     return containers.select("id", "known_bucket").join(roots(containers), "id").select("id", F.coalesce("known_bucket", "root_id").alias("bucket_id"), (F.col("known_bucket").isNull() & F.col("root_id").isNotNull()).alias("filled"))
 
 
-def paths(containers: DataFrame, depth: int = 32) -> DataFrame:
+def paths(containers: DataFrame) -> DataFrame:
     """id, path, depth and bucket_id of every container that a bucket reaches."""
-    level = containers.filter(F.col("parent_id").isNull()).select("id", F.concat(F.lit("/"), F.col("name")).alias("path"), F.lit(1).alias("depth"), F.col("id").alias("bucket_id"))
-    found = level = materialise(level)
-    children = containers.filter(F.col("parent_id").isNotNull()).select(F.col("id").alias("_id"), "parent_id", "name")
-    for n in range(2, depth + 1):
-        level = materialise(level.join(children, level["id"] == F.col("parent_id")).select(F.col("_id").alias("id"), F.concat_ws("/", "path", "name").alias("path"), F.lit(n).alias("depth"), "bucket_id"))
-        if level.limit(1).count() == 0:
-            break
-        found = found.unionByName(level)
-    return found
+    bucket = containers.filter(F.col("parent_id").isNull()).select(F.col("id").alias("bucket_id"))
+    return climbed(containers, named=True).join(bucket, F.col("top") == F.col("bucket_id")).select("id", "path", F.col("depth").cast("int").alias("depth"), "bucket_id")
 
 
 def resolve(wanted: DataFrame, containers: DataFrame, objects: DataFrame | None = None) -> DataFrame:
@@ -94,8 +93,6 @@ def page(entries: DataFrame, after: str | None, limit: int = 200) -> DataFrame:
     limit = max(1, min(1000, limit))
     rows = entries if after is None else entries.filter(F.col("name") > after)
     some = rows.orderBy("name", "id").limit(limit + 1)  # one more row than shown
-    from pyspark.sql import Window
-
     numbered = some.withColumn("_n", F.row_number().over(Window.orderBy("name", "id"))).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > limit)
     return numbered.filter(F.col("_n") <= limit).drop("_n")
 

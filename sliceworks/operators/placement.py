@@ -47,17 +47,26 @@ def plan(volumes: DataFrame, data_n: int, parity_n: int, seed: str) -> DataFrame
 def drain_targets(slices: DataFrame, volumes: DataFrame, objects: DataFrame, source: int) -> DataFrame:
     """For each slice on ``source`` the volume it should move to: none of its object's, with room, least loaded domain, then most free space.
 
-    Volumes are a small dimension, so slices of one volume meet them by broadcast; that product holds only what is moved.
+    A slice is not paired with every volume. Within a domain the emptiest volume that its object doesn't hold is the best, if there is room
+    at all; an object with m slices on a domain's volumes rules out m of them at most, so the domain's m + 1 emptiest are enough. Domains in which an
+    object has nothing all have load 0: of those the one with the emptiest volume is best, so the emptiest volumes of as many domains as
+    the object has slices, and one more, are enough.
     """
     moving = slices.filter(F.col("volume_id") == source).join(objects.select("object_id", S.slice_estimate(F.col("size"), F.col("data_n")).alias("need")), "object_id")
-    held = slices.join(moving.select("object_id").distinct(), "object_id", "left_semi").groupBy("object_id").agg(F.collect_set("volume_id").alias("held"))  # six at most
-    groups = F.broadcast(volumes.select("volume_id", S.failure_domain(F.col("device_group"), F.col("volume_id")).alias("domain")))
-    loads = slices.filter(F.col("volume_id") != source).join(moving.select("object_id").distinct(), "object_id", "left_semi").join(groups, "volume_id").groupBy("object_id", "domain").agg(F.count(F.lit(1)).alias("load"))
-    targets = F.broadcast(candidates(volumes).select(F.col("volume_id").alias("target"), _free().alias("free"), S.failure_domain(F.col("device_group"), F.col("volume_id")).alias("domain")))
-    pairs = moving.join(held, "object_id").join(targets, ~F.array_contains("held", F.col("target")) & (F.col("free") >= F.col("need")) & (F.col("target") != source))
-    ranked = pairs.join(loads, ["object_id", "domain"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
-    best = F.row_number().over(Window.partitionBy("object_id", "slice_index").orderBy("load", F.desc("free"), "target"))
-    return ranked.withColumn("_r", best).filter("_r = 1").select("object_id", "slice_index", "target", "load", "need")
+    domain = S.failure_domain(F.col("device_group"), F.col("volume_id"))
+    of_object = slices.join(moving.select("object_id").distinct(), "object_id", "left_semi").join(volumes.select("volume_id", domain.alias("domain")), "volume_id", "left")
+    held = of_object.groupBy("object_id").agg(F.collect_set("volume_id").alias("held"), F.collect_set("domain").alias("domains"))  # an object's slices
+    loads = of_object.filter(F.col("volume_id") != source).groupBy("object_id", "domain").agg(F.count(F.lit(1)).alias("load"))
+    own = Window.partitionBy("domain").orderBy(F.desc("free"), "target")
+    ranked = candidates(volumes).filter(F.col("volume_id") != source).select(F.col("volume_id").alias("target"), _free().alias("free"), domain.alias("domain")).withColumn("nth", F.row_number().over(own))
+    heads = ranked.filter("nth = 1").withColumn("place", F.row_number().over(Window.orderBy(F.desc("free"), "target")))
+    slots = moving.join(held, "object_id")
+    inside = slots.select("object_id", "slice_index", "need", "held", F.explode("domains").alias("domain")).join(ranked, "domain").filter(F.col("nth") <= F.size("held") + 1)
+    spread = slots.select("object_id", "slice_index", "need", "held", F.explode(F.sequence(F.lit(1), F.size("held") + 1)).alias("place")).join(heads, "place").drop("place")
+    pairs = inside.unionByName(spread.select(*inside.columns)).filter(~F.array_contains("held", F.col("target")) & (F.col("free") >= F.col("need")))
+    judged = pairs.join(loads, ["object_id", "domain"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
+    best = judged.groupBy("object_id", "slice_index").agg(F.min(F.struct("load", (-F.col("free")).alias("full"), "target", "need")).alias("b"))
+    return best.select("object_id", "slice_index", "b.target", "b.load", "b.need")
 
 
 def rebalance_sources(volumes: DataFrame, deadband: float = DEADBAND) -> DataFrame:
@@ -80,15 +89,19 @@ def rebalance_targets(volumes: DataFrame, deadband: float = DEADBAND) -> DataFra
 def shed(slices: DataFrame, objects: DataFrame, sources: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Which slices leave each source: larger tiers first, by object within a tier, until the source's excess is shed.
 
-    A running sum by source decides, so no state is shared between sources; the volumes' excess is broadcast.
+    A running sum by source decides, so no state is shared between sources. Whole tiers are summed first; only the tier in which a source's
+    excess ends is put in order.
     """
     tier = F.lit(len(tiers))
     for i in range(len(tiers) - 1, -1, -1):
         tier = F.when(F.coalesce("size", F.lit(0)) >= tiers[i], i).otherwise(tier)
     sized = objects.select("object_id", tier.alias("tier"), S.slice_estimate(F.col("size"), F.col("data_n")).alias("bytes"))
-    there = slices.join(F.broadcast(sources.select("volume_id", "excess")), "volume_id").join(sized, "object_id")
-    before = F.sum("bytes").over(Window.partitionBy("volume_id").orderBy("tier", "object_id", "slice_index").rowsBetween(Window.unboundedPreceding, -1))
-    return there.withColumn("shed_before", F.coalesce(before, F.lit(0))).filter(F.col("shed_before") < F.col("excess")).select("volume_id", "object_id", "slice_index", "tier", "bytes", "shed_before")
+    there = slices.join(sources.select("volume_id", "excess"), "volume_id").join(sized, "object_id")
+    tiers_of = there.groupBy("volume_id", "tier").agg(F.sum("bytes").alias("whole"))
+    larger = F.coalesce(F.sum("whole").over(Window.partitionBy("volume_id").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    there = there.join(tiers_of.select("volume_id", "tier", larger.alias("larger")), ["volume_id", "tier"]).filter(F.col("larger") < F.col("excess"))
+    before = F.sum("bytes").over(Window.partitionBy("volume_id", "tier").orderBy("object_id", "slice_index").rowsBetween(Window.unboundedPreceding, -1))
+    return there.withColumn("shed_before", F.col("larger") + F.coalesce(before, F.lit(0))).filter(F.col("shed_before") < F.col("excess")).select("volume_id", "object_id", "slice_index", "tier", "bytes", "shed_before")
 
 
 def replica_election(volumes: DataFrame, existing: list[int], copies: int) -> DataFrame:

@@ -45,7 +45,7 @@ def verifiable(slices: DataFrame, volumes: DataFrame, wanted: Sequence[int] | No
     good = volumes.filter(S.readable() & F.col("healthy") & ~F.col("deleted"))
     if wanted is not None:
         good = good.filter(F.col("volume_id").isin(*wanted))
-    return slices.join(F.broadcast(good.select("volume_id", F.col("draining").alias("skipped"))), "volume_id")
+    return slices.join(good.select("volume_id", F.col("draining").alias("skipped")), "volume_id")
 
 
 def object_verdicts(headers: DataFrame, data_n: int = 4) -> DataFrame:

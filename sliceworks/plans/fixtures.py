@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels")
 
 RELATIONS: dict[str, str] = {
-    # at most six slices an object: four data, two parity
+    # four data slices an object, the others parity
     "slices": """
         select object_id, cast(rn - 1 as int) as slice_index, volume_id, case when rn <= 4 then 'data' else 'parity' end as slice_type,
           case when (object_id + rn) % 11 = 0 then null else verified_at end as verified_at,
@@ -21,7 +21,7 @@ RELATIONS: dict[str, str] = {
             when 4 then 'EIO' when 5 then 'ETIMEOUT' when 6 then 'EPARITY' when 7 then 'EHDRSUM' when 8 then 'IOABORT' else 'EOTHER' end end as error_code
         from (select l_orderkey as object_id, l_suppkey as volume_id, l_shipdate as verified_at, l_returnflag as flag,
                 row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as rn
-              from {lineitem}) x where rn <= 6""",
+              from {lineitem}) x""",
     "shapes": """
         select object_id, sum(case when slice_type = 'data' then 1 else 0 end) as data_n, sum(case when slice_type = 'parity' then 1 else 0 end) as parity_n
         from slices group by object_id""",
@@ -73,12 +73,12 @@ RELATIONS: dict[str, str] = {
     "log_lines": """
         select event_id, ts, case event_id % 8
           when 0 then 'Device: /dev/sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || ' [SAT], ' || cast(event_id % 90 as string) || ' Currently unreadable (pending) sectors'
-          when 1 then 'blk_update_request: I/O error, dev sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1, sector 99'
-          when 2 then 'sd 1:0:0:0: [sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '] rejecting I/O to offline device'
-          when 3 then 'EXT4-fs error (device sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1): ext4_find_entry:1455: reading directory lblock 0'
-          when 4 then 'EXT4-fs (sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1): mounted filesystem with ordered data mode'
-          when 5 then 'Aborting journal on device sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1-8.'
-          when 6 then 'EXT4-fs (dm-3): Remounting filesystem read-only'
+          when 1 then 'block: medium error while reading, dev sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1, at 99'
+          when 2 then 'scsi 3:0:1:0: [sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '] Device not ready, retrying'
+          when 3 then 'EXT4-fs error (device sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1): group 12 has a bad bitmap'
+          when 4 then 'EXT4-fs (sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1): recovery complete'
+          when 5 then 'JBD2: cannot commit on sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || '1-4.'
+          when 6 then 'EXT4-fs (dm-7): delayed write failed'
           else 'usb 2-1: new device' end as line from {events}""",
     "headers": """
         select object_id, slice_index, volume_id, case when error_code = 'ECHECKSUM' then 'corrupt' when error_code = 'EUNAVAIL' then 'unreadable' when error_code = 'ENOENT' then 'absent' else 'ok' end as status,

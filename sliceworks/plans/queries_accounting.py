@@ -264,7 +264,7 @@ def prj_03(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("prj_07_file_paths", "select object_id, slice_index, label || '/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || substr(h, 5, 2) || '/' || h || '.' || cast(slice_index as string) as path from (select object_id, slice_index, label, substr(md5(cast(object_id as string)), 1, 24) as h from slices s join volumes v on s.volume_id = v.volume_id) x")
 def prj_07(spark: SparkSession, sf: str) -> DataFrame:
-    joined = R(spark, sf, "slices").join(F.broadcast(R(spark, sf, "volumes").select("volume_id", "label")), "volume_id")
+    joined = R(spark, sf, "slices").join(R(spark, sf, "volumes").select("volume_id", "label"), "volume_id")
     return joined.select("object_id", "slice_index", F.concat_ws("/", "label", S.shard_path(S.make_id(F.col("object_id")), F.col("slice_index"))).alias("path"))
 
 

@@ -79,8 +79,8 @@ def joi_13(spark: SparkSession, sf: str) -> DataFrame:
     "joi_14_signal_volumes",
     """select s.device, case when e.volume_id is not null then e.volume_id when n = 1 then p.volume_id end as volume_id
       from (select distinct 'sd' || substr('abcdef', cast(1 + user_id % 6 as int), 1) || case when event_id % 2 = 0 then cast(1 + user_id % 3 as string) else '' end as device from {events}) s
-      left join (select 'sd' || substr('abcdef', cast(1 + volume_id % 6 as int), 1) || cast(1 + volume_id % 3 as string) as name, min(volume_id) as volume_id from volumes where volume_id < 5 group by 1) e on s.device = e.name
-      left join (select 'sd' || substr('abcdef', cast(1 + volume_id % 6 as int), 1) as disk, min(volume_id) as volume_id, count(distinct volume_id) as n from volumes where volume_id < 9 group by 1) p on coalesce(nullif(regexp_extract(s.device, '^([a-zA-Z]+)[0-9]+$', 1), ''), s.device) = p.disk""",
+      left join (select 'sd' || substr('abcdef', cast(1 + volume_id % 6 as int), 1) || cast(1 + volume_id % 3 as string) as name, min(volume_id) as volume_id from volumes where healthy group by 1) e on s.device = e.name
+      left join (select 'sd' || substr('abcdef', cast(1 + volume_id % 6 as int), 1) as disk, min(volume_id) as volume_id, count(distinct volume_id) as n from volumes where started group by 1) p on coalesce(nullif(regexp_extract(s.device, '^([a-zA-Z]+)[0-9]+$', 1), ''), s.device) = p.disk""",
 )
 def joi_14(spark: SparkSession, sf: str) -> DataFrame:
     """A signal's volume by its exact partition, else by its disk if that holds one volume only."""
@@ -89,8 +89,8 @@ def joi_14(spark: SparkSession, sf: str) -> DataFrame:
     number = F.when(F.col("event_id") % 2 == 0, (1 + F.col("user_id") % 3).cast("string")).otherwise("")
     signals = events.select(F.concat(F.lit("sd"), letter(F.col("user_id")), number).alias("device")).distinct()
     v = R(spark, sf, "volumes")
-    exact = v.filter("volume_id < 5").groupBy(F.concat(F.lit("sd"), letter(F.col("volume_id")), (1 + F.col("volume_id") % 3).cast("string")).alias("device")).agg(F.min("volume_id").alias("e"))
-    disks = v.filter("volume_id < 9").groupBy(F.concat(F.lit("sd"), letter(F.col("volume_id"))).alias("disk")).agg(F.min("volume_id").alias("p"), F.count_distinct("volume_id").alias("n"))
+    exact = v.filter("healthy").groupBy(F.concat(F.lit("sd"), letter(F.col("volume_id")), (1 + F.col("volume_id") % 3).cast("string")).alias("device")).agg(F.min("volume_id").alias("e"))
+    disks = v.filter("started").groupBy(F.concat(F.lit("sd"), letter(F.col("volume_id"))).alias("disk")).agg(F.min("volume_id").alias("p"), F.count_distinct("volume_id").alias("n"))
     joined = signals.withColumn("disk", F.coalesce(S.parent_disk(F.col("device")), F.col("device"))).join(exact, "device", "left").join(disks, "disk", "left")
     return joined.select("device", F.coalesce("e", F.when(F.col("n") == 1, F.col("p"))).alias("volume_id"))
 
@@ -111,11 +111,11 @@ def joi_15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "joi_16_all_volumes",
-    "select coalesce(v.volume_id, s.volume_id) as volume_id, v.volume_id is not null as configured, coalesce(n, 0) as slices from (select volume_id from volumes where volume_id % 2 = 0) v full outer join (select volume_id, count(*) as n from slices where volume_id % 3 = 0 group by volume_id) s on v.volume_id = s.volume_id",
+    "select coalesce(v.volume_id, s.volume_id) as volume_id, v.volume_id is not null as configured, coalesce(n, 0) as slices from (select volume_id from volumes where enabled) v full outer join (select volume_id, count(*) as n from slices where error_code is not null group by volume_id) s on v.volume_id = s.volume_id",
 )
 def joi_16(spark: SparkSession, sf: str) -> DataFrame:
-    v = R(spark, sf, "volumes").filter("volume_id % 2 = 0").select("volume_id", F.lit(True).alias("c"))
-    s = R(spark, sf, "slices").filter("volume_id % 3 = 0").groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
+    v = R(spark, sf, "volumes").filter("enabled").select("volume_id", F.lit(True).alias("c"))
+    s = R(spark, sf, "slices").filter("error_code IS NOT NULL").groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
     return v.join(s, "volume_id", "full_outer").select("volume_id", F.coalesce("c", F.lit(False)).alias("configured"), F.coalesce("n", F.lit(0)).alias("slices"))
 
 
@@ -136,7 +136,7 @@ def joi_19(spark: SparkSession, sf: str) -> DataFrame:
 def joi_22(spark: SparkSession, sf: str) -> DataFrame:
     requests = R(spark, sf, "requests").withColumn("b", F.regexp_extract("url", "^/bucket([0-9]+)/", 1).try_cast("bigint")).filter("b IS NOT NULL")
     grants = spark.range(20).select(F.col("id").alias("credential_id"), F.array((F.col("id") % 4)).alias("rests"))
-    joined = requests.join(F.broadcast(grants), "credential_id")  # twenty rows
+    joined = requests.join(grants, "credential_id")
     return joined.groupBy("credential_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.exists("rests", lambda r: r == F.col("b") % 4)).alias("granted"))
 
 
@@ -167,12 +167,12 @@ def ns_02(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ns_03_objects_by_path",
-    f"with recursive {_PATHS} select path || '/' || o.name as path, object_id, container_id from objects o join paths p on p.id = 1000000 + o.container_id where object_id % 40 = 0",
+    f"with recursive {_PATHS} select path || '/' || o.name as path, object_id, container_id from objects o join paths p on p.id = 1000000 + o.container_id",
 )
 def ns_03(spark: SparkSession, sf: str) -> DataFrame:
     containers = R(spark, sf, "containers")
     objects = R(spark, sf, "objects").withColumn("container_id", 1000000 + F.col("container_id"))
-    wanted = N.paths(containers).join(objects.filter("object_id % 40 = 0"), F.col("id") == F.col("container_id")).select(F.concat_ws("/", "path", "name").alias("path"))
+    wanted = N.paths(containers).join(objects, F.col("id") == F.col("container_id")).select(F.concat_ws("/", "path", "name").alias("path"))
     return N.objects_by_path(wanted, containers, objects).withColumn("container_id", F.col("container_id") - 1000000)
 
 

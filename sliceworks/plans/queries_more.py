@@ -24,9 +24,9 @@ def src_01(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "objects").filter("object_id = 7").select("object_id").unionByName(R(spark, sf, "volumes").select(F.col("volume_id").alias("object_id")))
 
 
-@query("src_07_first_copies", "select object_id, slice_index, min(volume_id) as volume_id from slices where object_id % 20 = 0 group by 1, 2")
+@query("src_07_first_copies", "select object_id, slice_index, min(volume_id) as volume_id from slices group by 1, 2")
 def src_07(spark: SparkSession, sf: str) -> DataFrame:
-    return R(spark, sf, "slices").filter("object_id % 20 = 0").groupBy("object_id", "slice_index").agg(F.min("volume_id").alias("volume_id"))
+    return R(spark, sf, "slices").groupBy("object_id", "slice_index").agg(F.min("volume_id").alias("volume_id"))
 
 
 @query("src_11_safe_records", r"select doc_id, regexp_matches(text, '[\n\r]') as refused from {documents}")
@@ -65,7 +65,7 @@ def joi_18(spark: SparkSession, sf: str) -> DataFrame:
     moving = slices.filter("volume_id = 21").join(R(spark, sf, "objects").select("object_id", S.slice_estimate(F.col("size"), F.col("data_n")).alias("need")), "object_id")
     held = slices.join(moving.select("object_id").distinct(), "object_id", "left_semi").groupBy("object_id").agg(F.collect_set("volume_id").alias("held"))
     free = F.coalesce("bytes_free", F.lit(0)) - F.col("bytes_pending")
-    targets = F.broadcast(P.candidates(R(spark, sf, "volumes")).select(F.col("volume_id").alias("target"), free.alias("free")))  # a fleet's disks
+    targets = P.candidates(R(spark, sf, "volumes")).select(F.col("volume_id").alias("target"), free.alias("free"))
     return moving.join(held, "object_id").join(targets, ~F.array_contains("held", F.col("target")) & (F.col("free") >= F.col("need"))).groupBy("object_id", "slice_index").agg(F.count(F.lit(1)).alias("targets"))
 
 
@@ -130,7 +130,12 @@ def sca_43(spark: SparkSession, sf: str) -> DataFrame:
     return driver_table(spark, sf, "events").select("event_id", F.try_to_timestamp(text).cast("timestamp_ntz").alias("at_time"))
 
 
-@query("sca_44_bus_groups", "select volume_id, '/devices/pci' || cast(volume_id % 3 as string) || '/usb' || cast(volume_id % 4 as string) as bus from volumes where volume_id % 5 <> 0 union all select volume_id, '/devices/pci' || cast(volume_id % 3 as string) as bus from volumes where volume_id % 5 = 0")
+@query(
+    "sca_44_bus_groups",
+    """with d as (select volume_id, '/devices/pci' || cast(volume_id % 3 as string) || case when volume_id % 5 = 0 then '/own' || cast(volume_id as string) else '/usb' || cast(volume_id % 4 as string) || '/dev' || cast(volume_id as string) end as path from volumes),
+      p as (select volume_id, string_split(ltrim(path, '/'), '/') as parts from d), x as (select volume_id, i, array_to_string(parts[1:i], '/') as prefix from (select *, unnest(range(1, len(parts) + 1)) as i from p) e),
+      n as (select prefix from x group by prefix having count(*) > 1) select volume_id, '/' || arg_max(x.prefix, i) as bus from x join n on x.prefix = n.prefix group by volume_id""",
+)
 def sca_44(spark: SparkSession, sf: str) -> DataFrame:
     """Each device's longest path prefix that another device shares: prefixes are exploded, counted and joined back, deepest first."""
     v = F.col("volume_id")
@@ -164,15 +169,18 @@ def sca_48(spark: SparkSession, sf: str) -> DataFrame:
     return good.groupBy(F.floor(F.col("object_id") / 100).alias("doc_id")).agg(F.count(F.lit(1)).alias("choices"))
 
 
-@query("sca_49_resync", "select doc_id, cast(7 as int) as offset from {documents} where length(regexp_replace(text, '[^ -~]', '', 'g')) >= 64 and doc_id % 20 = 0")
+@query(
+    "sca_49_resync",
+    """with b as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as body from {documents}), f as (select doc_id, body, md5(substr(body, cast((doc_id * 7919) % (length(body) - 63) as int) + 1, 64)) as sum from b where length(body) >= 64)
+      select doc_id, cast(min(o) as int) as offset from (select doc_id, body, sum, unnest(range(0, length(body) - 63)) as o from f) x where md5(substr(body, cast(o as int) + 1, 64)) = sum group by doc_id""",
+)
 def sca_49(spark: SparkSession, sf: str) -> DataFrame:
-    """A frame of 64 bytes somewhere in a body, known by its sum: the first offset of 32 whose sum matches."""
-    body = F.regexp_replace("text", "[^ -~]", "").cast("binary")
-    framed = driver_table(spark, sf, "documents").filter("doc_id % 20 = 0").select("doc_id", F.substring(body, 1, 64).alias("frame")).filter(F.length("frame") == 64)
-    shifted = framed.select("doc_id", F.md5("frame").alias("sum"), F.concat(F.unhex(F.lit("01020304050607")), "frame", F.unhex(F.lit("08090a0b"))).alias("body"))
-    offsets = shifted.select("doc_id", "sum", "body", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("offset"))
-    hit = offsets.filter(F.md5(F.substring(F.col("body"), F.col("offset") + 1, F.lit(64))) == F.col("sum"))
-    return hit.groupBy("doc_id").agg(F.min("offset").alias("offset"))
+    """A frame of 64 bytes somewhere in a body, known by its sum: the first offset of all whose sum matches. Each body is searched in its row."""
+    body = driver_table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").cast("binary").alias("body")).filter(F.length("body") >= 64)
+    place = (F.col("doc_id") * 7919 % (F.length("body") - 63)).cast("int")
+    framed = body.select("doc_id", "body", F.md5(F.substring(F.col("body"), place + 1, F.lit(64))).alias("sum"))
+    hits = F.filter(F.sequence(F.lit(0), F.length("body") - 64), lambda o: F.md5(F.substring(F.col("body"), o + 1, F.lit(64))) == F.col("sum"))
+    return framed.select("doc_id", F.array_min(hits).alias("offset"))
 
 
 @query("ns_11_listing", "select id, name, case when is_container then 'directory' else 'file' end as kind, size from (select id, name, true as is_container, cast(null as bigint) as size from containers where parent_id = 1007 union all select object_id, name, false, size from objects where container_id = 1007) x")

@@ -136,11 +136,11 @@ def src_08(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "objects").select("object_id", T.decode_header(raw).alias("h")).select("object_id", F.col("h.object_id").alias("header_id"), "h.size", "h.data_n", "h.chunk", "h.sum_ok")
 
 
-@query("src_13_longest_copies", "select segment, cast(arg_max(replica, len) as int) as replica, cast(max(len) as int) as length, true as consistent from (select conv_id as segment, r as replica, length(regexp_replace(text, '[^ -~]', '', 'g')) // r as len from {conversations}, (select unnest([1, 2, 3]) as r) g where turn = 0) x group by segment")
+@query("src_13_longest_copies", "select segment, cast(arg_max(replica, len) as int) as replica, cast(max(len) as int) as length, true as consistent from (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as segment, r as replica, length(regexp_replace(text, '[^ -~]', '', 'g')) // r as len from {conversations}, (select unnest([1, 2, 3]) as r) g) x group by segment")
 def src_13(spark: SparkSession, sf: str) -> DataFrame:
     text = F.regexp_replace("text", "[^ -~]", "")
-    copies = driver_table(spark, sf, "conversations").filter("turn = 0").withColumn("replica", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    cut = copies.select(F.col("conv_id").alias("segment"), "replica", F.left(text, F.floor(F.length(text) / F.col("replica")).cast("int")).alias("body"))
+    copies = driver_table(spark, sf, "conversations").withColumn("replica", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    cut = copies.select(F.concat_ws("-", "conv_id", "turn").alias("segment"), "replica", F.left(text, F.floor(F.length(text) / F.col("replica")).cast("int")).alias("body"))
     return T.longest_copies(cut)
 
 
@@ -188,8 +188,8 @@ def sca_32(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sca_33_log_signals",
-    """select event_id, case k when 6 then 'dm-3' else 'sd' || l || case when k in (1, 3, 5) then '1' else '' end end as device, case k when 0 then 'pending' else 'ioerror' end as kind,
-        case k when 0 then cast(event_id % 90 as string) || ' pending sector(s)' when 1 then 'i/o error' when 2 then 'rejecting i/o to offline device' when 3 then 'ext4: ext4_find_entry:1455: reading directory lblock 0' when 5 then 'jbd2: aborting journal' else 'ext4: Remounting filesystem read-only' end as detail,
+    """select event_id, case k when 6 then 'dm-7' else 'sd' || l || case when k in (1, 3, 5) then '1' else '' end end as device, case k when 0 then 'pending' else 'ioerror' end as kind,
+        case k when 0 then cast(event_id % 90 as string) || ' pending sector(s)' when 1 then 'medium error' when 2 then 'device not ready' when 3 then 'ext4: group 12 has a bad bitmap' when 5 then 'jbd2: cannot commit' else 'ext4: delayed write failed' end as detail,
         case k when 0 then cast(event_id % 90 as int) end as count from (select event_id, event_id % 8 as k, substr('abcdef', cast(1 + user_id % 6 as int), 1) as l from {events}) e where k not in (4, 7)""",
 )
 def sca_33(spark: SparkSession, sf: str) -> DataFrame:

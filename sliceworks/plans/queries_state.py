@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import placement as P
 from ..operators import replay as L
 from ..operators import verification as V
+from ..session import shared_folder
 from ..sources import tables as T
 from ..streaming import events as E
 from .fixtures import driver_table
@@ -83,7 +84,7 @@ def evt_15(spark: SparkSession, sf: str) -> DataFrame:
 )
 def evt_12(spark: SparkSession, sf: str) -> DataFrame:
     """A stream against a table: faults by readable volume, those with enough."""
-    good = F.broadcast(R(spark, sf, "volumes").filter(S.readable()).select("volume_id"))
+    good = R(spark, sf, "volumes").filter(S.readable()).select("volume_id")
     faults = _stream(spark, sf).filter("event_type = 'error'").select((F.col("user_id") % 40).alias("volume_id")).join(good, "volume_id")
     counted = faults.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
     return E.latest(E.run_to_table(counted, "update"), "volume_id").filter("n >= 10")
@@ -215,7 +216,7 @@ def src_03(spark: SparkSession, sf: str) -> DataFrame:
 @query("src_09_10_snapshot_round_trip", "select true as complete, true as counts_hold, cast(0 as bigint) as dangling, cast(0 as bigint) as broken")
 def src_09(spark: SparkSession, sf: str) -> DataFrame:
     """Write a snapshot, read it, judge it."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/snapshot-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
     containers = driver_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
     objects = R(spark, sf, "objects").select(F.col("object_id").cast("string").alias("id"), F.col("container_id").cast("string").alias("cid"), "name", "size")
     T.write_snapshot(containers, objects, path)

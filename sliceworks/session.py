@@ -32,6 +32,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a temporary folder serves a session on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def local_session(name: str, cores: int, partitions: int | None = None, memory: str = "20g") -> SparkSession:
     """A session on this machine, with the settings that benches use."""
     return (

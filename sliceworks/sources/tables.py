@@ -50,8 +50,8 @@ def longest_copies(segments: DataFrame) -> DataFrame:
 
 def missing_segments(segments: DataFrame) -> DataFrame:
     """Numbers between 0 and the last segment that no copy has."""
-    last = segments.agg(F.max("segment").alias("last"))
-    every = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("segment"))
+    last = segments.agg(F.max("segment").alias("last")).first()["last"]  # one number
+    every = segments.sparkSession.range(0 if last is None else int(last) + 1).select(F.col("id").alias("segment"))
     return every.join(segments.select(F.col("segment").cast("bigint").alias("segment")).distinct(), "segment", "left_anti")
 
 

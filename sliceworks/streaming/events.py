@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 COOLDOWN = 300
 SIGNAL_COOLDOWN = 6 * 3600
@@ -31,7 +31,7 @@ def read_events(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now and return what it wrote. Each micro-batch overwrites its own folder, so a repeated one leaves no second copy."""
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")

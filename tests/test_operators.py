@@ -34,8 +34,18 @@ def test_roots_of_orphans_and_cycles(spark):
 
 
 def test_a_deep_chain_has_its_root(spark):
-    tree = spark.range(200).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("n").alias("name"))
-    assert namespace.roots(tree).filter("root_id = 0").count() == 200
+    tree = spark.range(5000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("n").alias("name"))
+    assert namespace.roots(tree).filter("root_id = 0").count() == 5000
+    assert namespace.paths(tree).filter(F.col("depth") == F.col("id") + 1).filter(F.length("path") == 2 * F.col("depth")).count() == 5000
+    wanted = spark.createDataFrame([("/n" * 5000,), ("/n" * 5001,), ("/",)], "path string")
+    assert sorted((r["id"] or 0, r["outcome"]) for r in namespace.resolve(wanted, tree).collect()) == [(0, "missing"), (0, "root"), (4999, "found")]
+
+
+def test_a_cycle_of_three_ends(spark):
+    rows = [(1, 2, "a"), (2, 3, "b"), (3, 1, "c"), (4, 3, "d"), (5, None, "e"), (6, 5, "f")]
+    tree = spark.createDataFrame(rows, "id bigint, parent_id bigint, name string")
+    assert {r["id"]: r["root_id"] for r in namespace.roots(tree).collect()} == {1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5}
+    assert {r["id"]: r["depth"] for r in namespace.parents_first(tree).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 2}
 
 
 def test_too_few_volumes_fail(spark):
