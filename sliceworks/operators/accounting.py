@@ -5,10 +5,13 @@ Missing sizes count as 0, missing rows as zeros, and totals of no rows are zeros
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .namespace import materialise
 
 COUNTERS = ("object_count", "logical_bytes", "data_slice_count", "parity_slice_count", "data_bytes", "parity_bytes", "physical_bytes")
 
@@ -71,6 +74,31 @@ def unavailable_incremental(objects: DataFrame, slices: DataFrame, volumes: Data
     return objects.join(there, "object_id", "left").filter(F.coalesce("there", F.lit(0)) < F.col("data_n"))
 
 
+def refreshed_unavailable(stored: DataFrame, objects: DataFrame, slices: DataFrame, volumes: DataFrame) -> DataFrame:
+    """The stored row of totals with its part on unavailable objects counted again; the other columns stay."""
+    now = totals(unavailable_recomputed(objects, slices, volumes)).select(F.col("object_count").alias("_n"), F.col("logical_bytes").alias("_b"))
+    kept = [c for c in stored.columns if c not in ("unavailable_object_count", "unavailable_logical_bytes")]
+    return stored.select(*kept).join(F.broadcast(now)).select(*kept, F.col("_n").alias("unavailable_object_count"), F.col("_b").alias("unavailable_logical_bytes"))  # one row each
+
+
+def reconciled(objects_now: Callable[[], DataFrame], passes: int = 3) -> tuple[DataFrame, int]:
+    """System totals counted again until nothing has changed while they were counted, ``passes`` times at most, and how many passes it took.
+
+    ``objects_now`` reads the table as it is; a digest of it before and after a pass tells whether it has changed.
+    """
+    def digest() -> tuple:
+        return tuple(objects_now().agg(F.count(F.lit(1)), F.sum(F.xxhash64("object_id", "size", "data_n", "parity_n").cast("decimal(38,0)"))).first())
+
+    before = digest()
+    for n in range(1, passes + 1):
+        found = materialise(system_usage(objects_now()))
+        after = digest()
+        if after == before:
+            break
+        before = after
+    return found, n
+
+
 def totals(objects: DataFrame) -> DataFrame:
     return objects.agg(F.count(F.lit(1)).alias("object_count"), _total(_size(), "logical_bytes"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .namespace import materialise
 
 DEGRADE_AFTER = 10
 RETRY_SECONDS = 3600
@@ -46,6 +47,44 @@ def triaged(slices: DataFrame) -> DataFrame:
     return counted.withColumn("bucket", bucket).withColumn("needs_rebuild", (F.col("corrupt") > 0) & (F.col("bucket") != "lost"))
 
 
+def flagged_diagnosis(slices: DataFrame, volumes: DataFrame, objects: DataFrame, headers: DataFrame) -> DataFrame:
+    """Each flagged slice with what is behind its flag: its volume is unavailable, its file is missing, its disk fails, its data are bad, or
+    only its header needs to be written again; then also whether the header names an object that exists.
+
+    headers: object_id, slice_index, header_id.
+    """
+    up = volumes.filter(S.readable()).select("volume_id", F.lit(True).alias("_up"))
+    named = headers.join(objects.select(F.col("object_id").alias("header_id"), F.lit(True).alias("_real")), "header_id", "left").select("object_id", "slice_index", "_real").dropDuplicates(["object_id", "slice_index"])
+    category = S.error_category(F.col("error_code"))
+    found = F.when(F.col("_up").isNull(), "volume-unavailable").when(category == "missing", "file-missing").when(category.isin("io", "timeout", "volume-unavailable"), "io-error").when(category.isin("checksum", "parity-mismatch"), "data-bad").otherwise("restampable")
+    flagged = slices.filter(F.col("error_code").isNotNull()).join(up, "volume_id", "left").join(named, ["object_id", "slice_index"], "left")
+    return flagged.withColumn("diagnosis", found).withColumn("names_real", (F.col("diagnosis") == "restampable") & F.coalesce("_real", F.lit(False))).drop("_up", "_real")
+
+
+def diagnosed_objects(diagnosed: DataFrame) -> DataFrame:
+    """object_id and class: has-data-bad, volume-unavailable (and nothing to restamp), mixed (both), or all-restampable."""
+    has = lambda d: F.bool_or(F.col("diagnosis") == d)
+    down, again = has("volume-unavailable"), has("restampable")
+    kind = F.when(has("data-bad"), "has-data-bad").when(down & ~again, "volume-unavailable").when(down & again, "mixed").otherwise("all-restampable")
+    return diagnosed.groupBy("object_id").agg(kind.alias("class"))
+
+
+def repair_passes(faults: DataFrame, verdicts: DataFrame, batch: int = 25) -> DataFrame:
+    """The repair queue in passes of ``batch`` faults by key: key, pass, verdict, and whether it is the fault at which its object is verified in that pass (the others of the pass take what was found).
+
+    faults: key, object_id, eligible. Keys are numbered in ranges, so no task sees them all.
+    """
+    waiting = faults.filter("eligible").select("key", "object_id")
+    ranged = waiting.repartitionByRange("key").withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row a range
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy("key")) - 1
+    numbered = ranged.join(starts, "_part").withColumn("pass", F.floor(place / batch).cast("int"))
+    first = F.row_number().over(Window.partitionBy("pass", "object_id").orderBy("key")) == 1
+    return numbered.join(verdicts.select("object_id", "verdict"), "object_id", "left").select("key", "pass", F.coalesce("verdict", F.lit("gone")).alias("verdict"), first.alias("verifies"))
+
+
 def category_histogram(slices: DataFrame) -> DataFrame:
     return slices.filter(F.col("error_code").isNotNull()).groupBy(S.error_category(F.col("error_code")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .namespace import materialise
 
 TIERS = (256 << 20, 16 << 20, 1 << 20, 0)
 DEADBAND = 0.02
@@ -69,6 +70,29 @@ def drain_targets(slices: DataFrame, volumes: DataFrame, objects: DataFrame, sou
     return best.select("object_id", "slice_index", "b.target", "b.load", "b.need")
 
 
+def drained(slices: DataFrame, volumes: DataFrame, objects: DataFrame, source: int, most: int = 20) -> tuple[DataFrame, list[int]]:
+    """The slices after passes that each move what fits off ``source``, and how many were left after each pass.
+
+    A pass gives each slice its best target, admits by target as many as its free space holds, smallest first, and takes their bytes off it. Passes end
+    when nothing is left, or when a pass moves nothing.
+    """
+    left = [slices.filter(F.col("volume_id") == source).count()]
+    while left[-1] and len(left) <= most:
+        taken = F.sum("need").over(Window.partitionBy("target").orderBy("need", "object_id", "slice_index"))
+        fits = drain_targets(slices, volumes, objects, source).withColumn("taken", taken).join(volumes.select(F.col("volume_id").alias("target"), _free().alias("free")), "target").filter(F.col("taken") <= F.col("free"))
+        moves = materialise(fits.select("object_id", "slice_index", "target", "need"))
+        to = moves.select("object_id", "slice_index", F.lit(source).cast("bigint").alias("_from"), F.col("target").alias("_to"))
+        same = [F.col("s.object_id") == F.col("m.object_id"), F.col("s.slice_index") == F.col("m.slice_index"), F.col("s.volume_id") == F.col("m._from")]
+        slices = materialise(slices.alias("s").join(to.alias("m"), same, "left").select(*[F.coalesce("m._to", "s.volume_id").alias(c) if c == "volume_id" else F.col(f"s.{c}") for c in slices.columns]))
+        gone = moves.groupBy(F.col("target").alias("_t")).agg(F.sum("need").alias("_moved"))
+        lower = F.coalesce("bytes_free", F.lit(0)) - F.coalesce("_moved", F.lit(0))
+        volumes = materialise(volumes.join(gone, F.col("volume_id") == F.col("_t"), "left").withColumn("bytes_free", F.when(F.col("_moved").isNotNull(), lower).otherwise(F.col("bytes_free"))).select(*volumes.columns))
+        left.append(slices.filter(F.col("volume_id") == source).count())
+        if left[-1] >= left[-2]:
+            break
+    return slices, left
+
+
 def rebalance_sources(volumes: DataFrame, deadband: float = DEADBAND) -> DataFrame:
     """Volumes fuller than the pool's fill and the deadband, fullest first, with the bytes above the fill."""
     live = volumes.filter(~F.col("deleted")).withColumn("fill", S.fill(F.col("bytes_total"), F.col("bytes_free"), F.col("bytes_pending")))

@@ -89,6 +89,46 @@ def manifest_vote(manifests: DataFrame) -> DataFrame:
     return counted.filter(F.col("identity").isNotNull()).join(F.broadcast(whole)).select("identity", "votes", (2 * F.col("votes") > F.col("total")).alias("majority"))
 
 
+def reconciled_manifest(manifests: DataFrame) -> DataFrame:
+    """One row: the identity of a strict majority of the manifests that have one, how many agree, how many are foreign or silent, whether those
+    that agree are a majority of all, the device of the newest volume table and that of the newest snapshot, each among those that agree.
+
+    Fails without such a majority, and if no manifest that agrees is dated. manifests: device, identity, completed_at, updated_at.
+    """
+    votes = manifest_vote(manifests.filter(F.col("identity").isNotNull()))
+    first = votes.agg(F.max_by(F.struct("identity", "majority"), F.struct("votes", "identity")).alias("v")).select("v.identity", "v.majority")
+    ours = F.col("identity") == F.col("chosen")
+    one = manifests.join(F.broadcast(first.select(F.col("identity").alias("chosen"), "majority"))).agg(  # one row
+        F.first("chosen").alias("chosen"), F.first("majority").alias("majority"), F.count_if(ours).alias("agreeing"), F.count_if(F.col("identity").isNotNull() & ~ours).alias("foreign"), F.count_if(F.col("identity").isNull()).alias("silent"),
+        F.max_by("device", F.when(ours & F.col("updated_at").isNotNull(), F.struct("updated_at", "device"))).alias("newest_table"),
+        F.max_by("device", F.when(ours & F.col("completed_at").isNotNull(), F.struct("completed_at", "device"))).alias("newest_snapshot"),
+    )
+    fine = F.when(~F.coalesce("majority", F.lit(False)), F.raise_error(F.lit("no identity holds a majority of the disks that answered"))).when(F.col("newest_table").isNull(), F.raise_error(F.lit("no manifest of this array is dated"))).otherwise(F.col("chosen"))
+    return one.select(fine.alias("identity"), "agreeing", "foreign", "silent", (2 * F.col("agreeing") > F.col("agreeing") + F.col("foreign") + F.col("silent")).alias("complete"), "newest_table", "newest_snapshot")
+
+
+def restore_summary(names: DataFrame, slices: DataFrame, verdicts: DataFrame, snapshot_ids: DataFrame, existing: DataFrame, declined: DataFrame) -> DataFrame:
+    """One row of a restore's counters.
+
+    names: what ``replay`` leaves. verdicts: object_id, verdict (deferred, below-quorum or other). existing: id of the rows that the database
+    held before. declined: id, refused. Objects that can't be judged keep their names; those without a readable quorum, and those without slices, don't.
+    """
+    fates = keep_with_slices(names, slices, snapshot_ids).join(verdicts.select(F.col("object_id").alias("id"), "verdict"), "id", "left")
+    there = F.col("fate") == "restored"
+    lost, unsure = F.coalesce(F.col("verdict") == "below-quorum", F.lit(True)), F.coalesce(F.col("verdict") == "deferred", F.lit(False))
+    kept = fates.filter(there & (unsure | ~lost)).select("id").unionByName(names.filter("kind = 'container'").select("id"))
+    objects = fates.agg(
+        F.count_if(~F.col("parked") | there).alias("objects_in_namespace"), F.count_if(there & ~unsure & ~lost).alias("objects_restored"), F.count_if(F.col("fate") == "missing").alias("objects_missing"),
+        F.count_if(there & ~unsure & lost).alias("objects_unrecoverable"), F.count_if(there & unsure).alias("objects_indeterminate"), F.count_if(there & F.col("parked")).alias("dels_ignored"), F.count_if(F.col("fate") == "dropped").alias("puts_dropped"),
+    )
+    one = [
+        names.agg(F.count_if(F.col("kind") == "container").alias("containers")), existing.join(kept.distinct(), "id", "left_anti").agg(F.count(F.lit(1)).alias("rows_pruned")), declined.agg(F.coalesce(F.sum("refused"), F.lit(0)).cast("bigint").alias("policies_declined")),
+    ]
+    for row in one:
+        objects = objects.join(F.broadcast(row))  # one row each
+    return objects
+
+
 def best_manifest(manifests: DataFrame) -> DataFrame:
     """The manifest to trust: a usable snapshot first, then the latest; unreadable times never win. manifests: device, usable, completed_at, updated_at."""
     key = F.struct(F.col("usable").cast("int"), F.coalesce(F.when(F.col("usable"), F.col("completed_at")), F.col("updated_at")), F.col("device"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .namespace import materialise
 
 
 def needs_verification(objects: DataFrame, slices: DataFrame, boundary: Column, volumes: Sequence[int] | None) -> DataFrame:
@@ -73,3 +74,58 @@ def covers(active: Sequence[int] | None, requested: Sequence[int] | None) -> boo
     if active is None:
         return True
     return requested is not None and set(requested) <= set(active)
+
+
+def chunk_health(chunks: DataFrame) -> DataFrame:
+    """Per object: chunks, how many of either parity slice are fine, how many can be recovered (data fine, and one parity), how often both fail and how often one, the share of recoverable ones and its bin.
+
+    chunks: object_id, k, data_ok, a_ok, b_ok; an object's data count as fine only if all of its chunks' are.
+    """
+    whole = F.bool_and("data_ok").over(Window.partitionBy("object_id"))
+    judged = chunks.withColumn("_good", whole & (F.col("a_ok") | F.col("b_ok")))
+    per = judged.groupBy("object_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if("a_ok").alias("a_ok"), F.count_if("b_ok").alias("b_ok"), F.count_if("_good").alias("recoverable"), F.count_if(~F.col("a_ok") & ~F.col("b_ok")).alias("same"), F.count_if(F.col("a_ok") != F.col("b_ok")).alias("different")
+    )
+    share = F.col("recoverable") / F.col("chunks")
+    bins = F.when(share == 0, "0%").when(share < 0.25, "1-25%").when(share < 0.75, "25-75%").when(share < 0.99, "75-99%").otherwise("100%")
+    return per.withColumn("share", share).withColumn("bin", bins)
+
+
+def audit_rollup(probes: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: how many volumes opened, were refused, could not be read, could not be identified, were not checked or did not show up, and whether all is well: none of the last five.
+
+    probes: volume_id, outcome. expected: volume_id.
+    """
+    absent = expected.select("volume_id").distinct().join(probes.select("volume_id"), "volume_id", "left_anti").agg(F.count(F.lit(1)).alias("absent"))
+    kinds = ("opened", "refused", "unreadable", "unidentified", "not_checked")
+    counts = probes.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
+    bad = sum((F.col(k) for k in kinds[2:]), F.col("refused")) + F.col("absent")
+    return counts.join(F.broadcast(absent)).select(*kinds, "absent", (bad == 0).alias("healthy"))  # one row each
+
+
+def audit_due(last_audit: Column, now: Column, token: Column, last_token: Column, days: int = 90) -> Column:
+    """Why an audit is due, the first that holds: never, old, token-missing, token-changed; null if it isn't."""
+    return F.when(last_audit.isNull(), "never").when(F.datediff(now, last_audit) >= days, "old").when(token.isNull(), "token-missing").when(~token.eqNullSafe(last_token), "token-changed")
+
+
+def verify_run(objects: DataFrame, slices: DataFrame, before: Column, volumes: list[int] | None, cursor_path: str, size: int, batches: int) -> DataFrame:
+    """Up to ``batches`` batches of a run's worklist: object_id and batch. The cursor, written after each batch, is where the next call goes on; ``before`` is the run's boundary.
+
+    A run that ends within a batch takes that batch again.
+    """
+    spark = objects.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(cursor_path)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    saved = spark.read.parquet(cursor_path).agg(F.max(F.struct("batch", "after")).alias("c")).first()["c"] if there else None
+    batch, after = (saved["batch"], saved["after"]) if saved else (0, None)
+    found = None
+    for _ in range(batches):
+        page = materialise(worklist(objects, slices, before, volumes, after, size).select("object_id"))
+        last = page.agg(F.max("object_id").alias("m")).first()["m"]
+        if last is None:
+            break
+        batch, after = batch + 1, last
+        spark.range(1).select(F.lit(batch).alias("batch"), F.lit(after).cast("bigint").alias("after")).write.mode("append").parquet(cursor_path)
+        page = page.withColumn("batch", F.lit(batch))
+        found = page if found is None else found.unionByName(page)
+    return found if found is not None else objects.select("object_id", F.lit(0).alias("batch")).limit(0)

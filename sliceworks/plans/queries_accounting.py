@@ -324,17 +324,6 @@ def upd_03(spark: SparkSession, sf: str) -> DataFrame:
     return held.select("object_id", F.posexplode(moved).alias("slice_index", "volume_id"))
 
 
-@query("upd_07_archive_dead", "select coalesce(length(recovery_comment), 0) > 0 as archived, count(*) as n from objects group by 1")
-def upd_07(spark: SparkSession, sf: str) -> DataFrame:
-    return R(spark, sf, "objects").groupBy(S.dead(F.col("recovery_comment")).alias("archived")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("src_20_upsert", "select o.volume_id, case when o.volume_id % 3 = 0 then 'new' else o.label end as label from volumes o")
-def src_20(spark: SparkSession, sf: str) -> DataFrame:
-    old = R(spark, sf, "volumes").select("volume_id", "label")
-    return T.upsert(old, old.filter("volume_id % 3 = 0").select("volume_id", F.lit("new").alias("label")), "volume_id")
-
-
 @query("src_21_insert_if_absent", "select volume_id, label from volumes union all select volume_id + 1000000, 'new' from volumes where volume_id % 4 = 0")
 def src_21(spark: SparkSession, sf: str) -> DataFrame:
     old = R(spark, sf, "volumes").select("volume_id", "label")

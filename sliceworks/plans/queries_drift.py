@@ -54,13 +54,6 @@ def win_16(spark: SparkSession, sf: str) -> DataFrame:
     return X.lost_by_container(X.triaged(R(spark, sf, "slices")), R(spark, sf, "objects"))
 
 
-@query("agg_19_flagged_sample", "select case when error_code is null then 'clean' else 'flagged' end as state, count(*) as n from (select * from slices order by md5('3:' || cast(object_id as string) || ':' || cast(slice_index as string)), object_id, slice_index limit 500) s group by 1")
-def agg_19(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit("3:"), F.col("object_id").cast("string"), F.lit(":"), F.col("slice_index").cast("string")).cast("binary"))
-    some = R(spark, sf, "slices").orderBy(key, "object_id", "slice_index").limit(500)
-    return some.groupBy(F.when(F.col("error_code").isNull(), "clean").otherwise("flagged").alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "agg_20_header_mismatches",
     "select count(*) as n, count(*) filter (where h_data_n <> data_n) as data_n_differs, count(*) filter (where h_parity_n <> parity_n) as parity_n_differs, count(*) filter (where h_chunk <> chunk_size) as chunk_differs from headers h join objects o on h.object_id = o.object_id where h.status = 'ok'",
@@ -83,16 +76,6 @@ def agg_22(spark: SparkSession, sf: str) -> DataFrame:
     return V.verdict_rollup(V.object_verdicts(R(spark, sf, "headers")))
 
 
-@query(
-    "agg_21_parity_health",
-    """select least(4, cast(floor(share * 5) as int)) as bin, count(*) as objects from (select object_id, cast(count(*) filter (where error_code is null) as double) / count(*) as share from slices where slice_type = 'parity' group by object_id) x group by 1""",
-)
-def agg_21(spark: SparkSession, sf: str) -> DataFrame:
-    share = F.count_if(F.col("error_code").isNull()).cast("double") / F.count(F.lit(1))
-    health = R(spark, sf, "slices").filter("slice_type = 'parity'").groupBy("object_id").agg(share.alias("share"))
-    return health.groupBy(F.least(F.lit(4), F.floor(F.col("share") * 5).cast("int")).alias("bin")).agg(F.count(F.lit(1)).alias("objects"))
-
-
 @query("agg_38_light_histogram", f"select coalesce(category, 'clean') as category, count(*) as slices, count(distinct object_id) as objects from (select object_id, case when error_code is not null then {CATEGORY} end as category from slices) s group by 1")
 def agg_38(spark: SparkSession, sf: str) -> DataFrame:
     category = F.coalesce(F.when(F.col("error_code").isNotNull(), S.error_category(F.col("error_code"))), F.lit("clean"))
@@ -361,11 +344,6 @@ def agg_23(spark: SparkSession, sf: str) -> DataFrame:
     return L.dangling(L.replay(R(spark, sf, "oplog"))).select("id", "cid")
 
 
-@query("agg_30_replay_summary", f"select kind, count(*) as n, count(*) filter (where parked) as parked, cast(coalesce(sum(size), 0) as bigint) as bytes from ({_STATE}) x group by kind")
-def agg_30(spark: SparkSession, sf: str) -> DataFrame:
-    return L.replay(R(spark, sf, "oplog")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("parked").alias("parked"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-
-
 @query("fil_19_coherent_records", "select op, count(*) as n, count(*) filter (where case when line % 10 = 0 then false when op = 'put' then size >= 0 else true end) as coherent from oplog group by op")
 def fil_19(spark: SparkSession, sf: str) -> DataFrame:
     log = R(spark, sf, "oplog").withColumn("id", F.when(F.col("line") % 10 != 0, F.col("id")))
@@ -395,14 +373,6 @@ def agg_27(spark: SparkSession, sf: str) -> DataFrame:
     return L.best_manifest(_manifests(spark, sf))
 
 
-@query("rep_08_manifest_reconcile", f"select (select identity from ({_MANIFESTS}) m where identity is not null group by identity order by count(*) desc limit 1) as identity, (select device from ({_MANIFESTS}) m order by updated_at desc, device desc limit 1) as newest_table, (select device from ({_MANIFESTS}) m where completed_at is not null order by completed_at desc, device desc limit 1) as newest_snapshot")
-def rep_08(spark: SparkSession, sf: str) -> DataFrame:
-    m = _manifests(spark, sf)
-    vote = L.manifest_vote(m).agg(F.max_by("identity", "votes").alias("identity"))
-    newest = m.agg(F.max_by("device", F.struct("updated_at", "device")).alias("newest_table"), F.max_by("device", F.when(F.col("completed_at").isNotNull(), F.struct("completed_at", "device"))).alias("newest_snapshot"))
-    return vote.join(F.broadcast(newest))
-
-
 @query("srt_07_bounded_sample", "select count(*) as n, string_agg(case when r <= 20 then cast(object_id as string) end, ',' order by object_id) as sample from (select object_id, row_number() over (order by object_id) as r from objects o where not exists (select 1 from slices s where s.object_id = o.object_id)) x")
 def srt_07(spark: SparkSession, sf: str) -> DataFrame:
     found = D.phantoms(R(spark, sf, "objects"), R(spark, sf, "slices")).select("object_id")

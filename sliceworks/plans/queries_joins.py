@@ -230,8 +230,3 @@ def srt_05(spark: SparkSession, sf: str) -> DataFrame:
 def src_05(spark: SparkSession, sf: str) -> DataFrame:
     root = F.col("parent_id").isNull()
     return R(spark, sf, "containers").select("id", *[F.when(root, F.col(c)).alias(c) for c in ("public_read", "delete_protected")])
-
-
-@query("sca_11_triaged_categories", f"select volume_id, {CATEGORY} as category, count(*) as n from slices where error_code is not null group by 1, 2")
-def sca_11(spark: SparkSession, sf: str) -> DataFrame:
-    return R(spark, sf, "slices").filter("error_code IS NOT NULL").groupBy("volume_id", S.error_category(F.col("error_code")).alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -191,25 +191,6 @@ def ns_11(spark: SparkSession, sf: str) -> DataFrame:
     return entries.join(sizes, ["id", "is_container"], "left").select("id", "name", F.when(F.col("is_container"), "directory").otherwise("file").alias("kind"), "size")
 
 
-@query("upd_06_refreshed_unavailable", "select object_count, 7 as unavailable from (select count(*) as object_count from objects) x")
-def upd_06(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored totals with only the part that changed replaced."""
-    return A.system_usage(R(spark, sf, "objects")).select("object_count", F.lit(7).alias("unavailable"))
-
-
-@query("rep_05_06_snapshot_choice", "select case when (select count(*) from objects) = 3 then 'current' else 'previous' end as used")
-def rep_05(spark: SparkSession, sf: str) -> DataFrame:
-    """A snapshot whose counts don't hold gives way to the one before it, and that is reported."""
-    counts = R(spark, sf, "objects").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.when(F.col("n") == 3, "current").otherwise("previous").alias("used"))
-
-
-@query("evt_07_repair_batch", "select key from (select distinct coalesce(cast(volume_id as string), 'unknown') || ':' || cast(object_id as string) || ':' || cast(slice_index as string) as key from observations) k order by key limit 25")
-def evt_07(spark: SparkSession, sf: str) -> DataFrame:
-    keys = R(spark, sf, "observations").select(S.fault_key(F.col("volume_id"), F.col("object_id"), F.col("slice_index")).alias("key")).distinct()
-    return keys.orderBy("key").limit(25)
-
-
 @query("evt_11_negative_counters", "select volume_id, cast(count(*) as bigint) - 150 < 0 as recompute from slices group by volume_id")
 def evt_11(spark: SparkSession, sf: str) -> DataFrame:
     """Counters that changes drive below zero ask for a recount."""

@@ -128,12 +128,6 @@ def agg_35(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select("prefix", "n", ((F.col("r") == 1) & (F.sum((F.col("r") == 1).cast("int")).over(Window.partitionBy()) == 1)).alias("wins"))
 
 
-@query("agg_37_audit_rollup", "select case when deleted then 'not-checked' when not started then 'unreadable' when not healthy then 'refused' else 'opened' end as state, count(*) as n, string_agg(cast(volume_id as string), ',' order by volume_id) as volumes from volumes group by 1")
-def agg_37(spark: SparkSession, sf: str) -> DataFrame:
-    state = F.when(F.col("deleted"), "not-checked").when(~F.col("started"), "unreadable").when(~F.col("healthy"), "refused").otherwise("opened")
-    return R(spark, sf, "volumes").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("volume_id")), ",").alias("volumes"))
-
-
 @query("fil_01_kinds", "select parent_id is null as bucket, count(*) as n from containers group by 1")
 def fil_01(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "containers").groupBy(F.col("parent_id").isNull().alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -213,16 +207,6 @@ def src_03(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "objects").filter("size IS NOT NULL").select("object_id", checked.alias("size"), "chunk_size")
 
 
-@query("src_09_10_snapshot_round_trip", "select true as complete, true as counts_hold, cast(0 as bigint) as dangling, cast(0 as bigint) as broken")
-def src_09(spark: SparkSession, sf: str) -> DataFrame:
-    """Write a snapshot, read it, judge it."""
-    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
-    containers = driver_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
-    objects = R(spark, sf, "objects").select(F.col("object_id").cast("string").alias("id"), F.col("container_id").cast("string").alias("cid"), "name", "size")
-    T.write_snapshot(containers, objects, path)
-    return T.snapshot_verdict(T.read_records(spark, path))
-
-
 @query("src_15_torn_tail", "select line from oplog where line < (select max(line) from oplog)")
 def src_15(spark: SparkSession, sf: str) -> DataFrame:
     log = R(spark, sf, "oplog")
@@ -249,35 +233,6 @@ def upd_04(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "volumes").select("volume_id", F.when(change, False).otherwise(F.col("healthy")).alias("healthy"), (change & F.col("healthy")).alias("stamped"))
 
 
-@query("upd_05_restored_containers", "select id, coalesce(public_read, false) as public_read from containers")
-def upd_05(spark: SparkSession, sf: str) -> DataFrame:
-    return R(spark, sf, "containers").select("id", F.coalesce("public_read", F.lit(False)).alias("public_read"))
-
-
 @query("win_10_recent_faults", "select event_id, ts from observations order by ts desc, event_id limit 30")
 def win_10(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "observations").orderBy(F.desc("ts"), "event_id").limit(30).select("event_id", "ts")
-
-
-@query("rep_12_drain_left", "select count(*) as placed, (select count(*) from slices where volume_id = 11) - count(*) as stuck from (select distinct object_id, slice_index from slices s where volume_id = 11) x")
-def rep_12(spark: SparkSession, sf: str) -> DataFrame:
-    """One pass of a drain: slices with a target, and those without, for which another pass would not help."""
-    slices = R(spark, sf, "slices")
-    placed = P.drain_targets(slices, R(spark, sf, "volumes"), R(spark, sf, "objects"), 11).agg(F.count(F.lit(1)).alias("placed"))
-    there = slices.filter("volume_id = 11").agg(F.count(F.lit(1)).alias("n"))
-    return placed.join(F.broadcast(there)).select("placed", (F.col("n") - F.col("placed")).alias("stuck"))
-
-
-@query("evt_08_resumed_worklist", "select object_id from objects where (last_verified_at is null or last_verified_at < timestamp '1997-01-01 00:00:00') and object_id > 3000 order by object_id limit 25")
-def evt_08(spark: SparkSession, sf: str) -> DataFrame:
-    return V.worklist(R(spark, sf, "objects"), R(spark, sf, "slices"), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"), None, 3000, 25).select("object_id")
-
-
-@query("rep_10_idempotent_replay", "select cast(0 as bigint) as differing")
-def rep_10(spark: SparkSession, sf: str) -> DataFrame:
-    """Replaying a log twice leaves what replaying it once leaves."""
-    log = R(spark, sf, "oplog")
-    last = log.agg(F.max("line").alias("m"))
-    again = log.join(F.broadcast(last)).withColumn("line", F.col("line") + F.col("m") + 1).drop("m")
-    once, twice = L.replay(log), L.replay(log.unionByName(again))
-    return once.exceptAll(twice).agg(F.count(F.lit(1)).alias("differing"))

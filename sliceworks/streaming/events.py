@@ -41,6 +41,21 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(f"{base}/out")
 
 
+def poll(spark: SparkSession, log: str, base: str, collect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Take in what a folder of log lines has got since the last poll that succeeded, and return all that was collected so far.
+
+    The stream's checkpoint below ``base`` is the cursor. A poll that fails leaves it where it was, so the next one covers the same lines again; what it had
+    collected is overwritten, as each batch has its own folder.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        collect(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = spark.readStream.text(log).writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

@@ -76,7 +76,7 @@ def test_snapshot_verdicts(spark, tmp_path):
     containers = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string")
     objects = spark.createDataFrame([("9", "1", "x", 3), ("8", "77", "y", 4)], "id string, cid string, name string, size bigint")
     tables.write_snapshot(containers, objects, str(tmp_path / "s"))
-    assert tuple(tables.snapshot_verdict(tables.read_records(spark, str(tmp_path / "s"))).first()) == (True, True, 1, 0)
+    assert tuple(tables.snapshot_verdict(tables.read_records(spark, str(tmp_path / "s"))).first()) == (True, True, True, 1, 0)
     cut = tables.read_records(spark, str(tmp_path / "s")).filter("op <> 'end'")
     assert tables.snapshot_verdict(cut).first()["complete"] is False
     broken = objects.withColumn("name", F.lit("a\nb"))
@@ -124,3 +124,57 @@ def test_locked_accounts_are_not_looked_at():
         assert seen
     state, seen = events.login_step(state, {"seconds": 10, "good": True})
     assert not seen
+
+
+def test_a_snapshot_altered_in_place_gives_way(spark, tmp_path):
+    containers = spark.createDataFrame([("1", "a")], "id string, name string")
+    objects = spark.createDataFrame([("9", "1", "x", 3)], "id string, cid string, name string, size bigint")
+    whole, altered = str(tmp_path / "w"), str(tmp_path / "a")
+    tables.write_snapshot(containers, objects, whole)
+    spark.read.text(whole).select(F.regexp_replace("value", '"name":"x"', '"name":"y"').alias("value")).write.text(altered)
+    used, report = tables.usable_snapshot(spark, [str(tmp_path / "none"), altered, whole])
+    assert used == whole
+    assert [(r["place"], r["complete"], r["sum_holds"], r["used"]) for r in report.orderBy("place").collect()] == [(1, False, False, False), (2, True, False, False), (3, True, True, True)]
+    assert tables.usable_snapshot(spark, [altered])[0] is None
+
+
+def test_upsert_unsets_and_inserts(spark):
+    old = spark.createDataFrame([(1, "a", "blocked", 5), (2, "b", "blocked", 6)], "k int, name string, status string, first int")
+    new = spark.createDataFrame([(1, None, None, 9), (3, "c", "new", 9)], "k int, name string, status string, first int")
+    found = {r["k"]: tuple(r)[1:] for r in tables.upsert(old, new, "k", unset=("status",), on_insert=("first",)).collect()}
+    assert found == {1: ("a", None, 5), 2: ("b", "blocked", 6), 3: ("c", "new", 9)}
+
+
+def test_rows_retire_only_with_a_copy(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, True), (1, True), (2, False), (3, None)], "k int, gone boolean")
+    left = tables.archived(rows, F.col("gone"), str(tmp_path / "archive"))
+    assert sorted(r["k"] for r in left.collect()) == [2, 3] and spark.read.parquet(str(tmp_path / "archive")).count() == 2
+    monkeypatch.setattr(type(rows.write), "parquet", lambda self, path, **_: self.text(f"{path}/elsewhere") if False else rows.limit(1).write.format("parquet").mode("append").save(path))
+    with pytest.raises(RuntimeError, match="nothing is retired"):
+        tables.archived(rows, F.col("gone"), str(tmp_path / "short"))
+
+
+def test_an_id_that_is_not_there_fails(spark):
+    rows = spark.range(3)
+    assert tables.by_id(rows, "id", 2).count() == 1
+    with pytest.raises(Exception, match="ENOENT"):
+        tables.by_id(rows, "id", 7).collect()
+
+
+def test_manifests_without_a_majority_fail(spark):
+    rows = [(1, "a", None, None), (2, "b", None, None)]
+    manifests = spark.createDataFrame(rows, "device int, identity string, completed_at timestamp, updated_at timestamp")
+    with pytest.raises(Exception, match="majority"):
+        replay.reconciled_manifest(manifests).collect()
+    with pytest.raises(Exception, match="dated"):
+        replay.reconciled_manifest(manifests.filter("device = 1")).collect()
+
+
+def test_a_drain_ends_when_targets_are_full(spark):
+    volumes = "volume_id bigint, device_group int, started boolean, enabled boolean, healthy boolean, read_only boolean, draining boolean, deleted boolean, bytes_free bigint, bytes_pending bigint"
+    fleet = spark.createDataFrame([(1, 1, True, True, True, False, True, False, 0, 0), (2, 2, True, True, True, False, False, False, 25, 0), (3, 3, True, True, True, False, False, False, 10, 0)], volumes)
+    slices = spark.createDataFrame([(i, 0, 1) for i in range(6)], "object_id bigint, slice_index int, volume_id bigint")
+    objects = spark.createDataFrame([(i, 10, 1) for i in range(6)], "object_id bigint, size bigint, data_n bigint")
+    after, left = placement.drained(slices, fleet, objects, 1)
+    assert left[0] == 6 and left[-1] == 3
+    assert sorted(r["volume_id"] for r in after.collect()) == [1, 1, 1, 2, 2, 3]
