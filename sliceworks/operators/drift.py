@@ -20,11 +20,12 @@ def orphans(objects: DataFrame, slices: DataFrame) -> DataFrame:
 
 def geometry_votes(headers: DataFrame) -> DataFrame:
     """Each object's winning shape by readable headers: most volumes, then most slices; two equal best shapes give no answer."""
-    shapes = headers.filter("status = 'ok'").groupBy("object_id", *SHAPE).agg(F.count_distinct("volume_id").alias("volumes"), F.count_distinct("slice_index").alias("slices"))
-    best = F.rank().over(Window.partitionBy("object_id").orderBy(F.desc("volumes"), F.desc("slices")))
-    ranked = shapes.withColumn("_r", best).filter("_r = 1")
-    single = ranked.groupBy("object_id").agg(F.count(F.lit(1)).alias("winners"), *[F.first(c).alias(c) for c in SHAPE], F.first("volumes").alias("volumes"), F.first("slices").alias("slices"))
-    answer = single.select("object_id", *[F.when(F.col("winners") == 1, F.col(c)).alias(c) for c in SHAPE], "volumes", "slices", "winners")
+    n = lambda c: F.size(F.collect_set(c)).cast("bigint").alias(f"{c}s")  # noqa: E731  of an object's slices
+    shapes = headers.filter("status = 'ok'").groupBy("object_id", *SHAPE).agg(n("volume_id"), n("slice_index"))
+    ranked = shapes.groupBy("object_id").agg(F.max(F.struct("volume_ids", "slice_indexs")).alias("top"), F.collect_list(F.struct(F.struct("volume_ids", "slice_indexs").alias("votes"), *SHAPE)).alias("all"))
+    won = F.filter("all", lambda x: x["votes"] == F.col("top"))
+    single = ranked.select("object_id", F.col("top.volume_ids").alias("volumes"), F.col("top.slice_indexs").alias("slices"), F.size(won).cast("bigint").alias("winners"), F.get(won, 0).alias("won"))
+    answer = single.select("object_id", *[F.when(F.col("winners") == 1, F.col(f"won.{c}")).alias(c) for c in SHAPE], "volumes", "slices", "winners")
     return answer.withColumn("corroborated", (F.col("winners") == 1) & (F.col("volumes") > 1))
 
 
