@@ -1,17 +1,19 @@
 """Quality rules by distribution divergence.
 
 Per language a reference is summed over all its documents that pass the base rules: a histogram of character classes
-and one of common words. Junk blurs such sums, so they are made twice, the second time over the documents that the
+and one of common words. The common words of a language are learned: the ``COMMON`` short words that most of its documents
+hold. Junk blurs such sums, so they are made twice, the second time over the documents that the
 first references keep. A document is held against its own language's reference by the Jensen-Shannon distance (the square root of
-the divergence in bits, 0 to 1), and goes if it is too far in either histogram. Guards: a text with
-fewer than ``MIN_CHARS`` characters isn't judged by its characters, one with fewer than ``MIN_WORDS`` words not by its
-words, and the limit for words widens as texts shorten, since few words scatter more.
+the divergence in bits, 0 to 1).
 
-The text is read once; what is counted goes to a narrow table in the shared folder, from which the references are
-summed and all rows judged. References exist for at most ``LANGUAGES`` languages, those with the most words, and only with
-``REFERENCE_DOCS`` documents and ``REFERENCE_WORDS`` words or more, so that a few documents of junk make none; documents of others,
-or of none, are held against one reference, whose two distances sum to the least. Common words are a fixed list for four
-languages: the words of another say little, and its documents are judged by their characters.
+What is far is learned as well. Over the documents of a reference the distances have a median and a spread (the median absolute
+deviation, as a standard deviation). A document goes if it lies ``FAR`` spreads beyond the median in either histogram, or ``BOTH_FAR`` in
+both. Few words scatter more, so from the distance of words goes first what chance alone makes of as many words. Guards:
+a text with fewer than ``MIN_CHARS`` characters isn't judged by its characters, one with fewer than ``MIN_WORDS`` words not by its words.
+
+The text is read twice, for the words and for what is counted; that goes to a narrow table in the shared folder, from which the references are
+summed and all rows judged. A language has a reference with ``REFERENCE_DOCS`` documents and ``REFERENCE_WORDS`` words or more, so that a few
+documents of junk make none; documents of other languages, or of none, are held against one reference, whose two distances sum to the least.
 
 Cases: a null or empty text has no words and fails the base rules; without any reference only the base rules hold;
 repeated rows are judged alike and each count in a reference; an empty table gives an empty result.
@@ -19,41 +21,35 @@ repeated rows are judged alike and each count in a reference; an empty table giv
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import python_ready, stash
+from .shared import python_ready, stash, unstash
 
 MIN_CHARS = 300
 MIN_WORDS = 50
-CHAR_LIMIT = 0.27
-WORD_LIMIT = 0.30
-BOTH_LIMITS = (0.17, 0.26)  # for characters and words that are both somewhat far
-WORD_SLACK = 0.6  # over the square root of the number of words
-LANGUAGES = 256
+COMMON = 40
+COMMON_SHARE = 0.1  # of a language's documents hold a common word at least
+LONGEST = 12  # bytes of a common word
+FAR = (40.0, 4.0)  # spreads, for characters and for words
+BOTH_FAR = (12.0, 1.0)
+LEAST_SPREADS = (0.004, 0.01)
 REFERENCE_DOCS, REFERENCE_WORDS = 20, 5000
 SYMBOLS = "#*$%&|<>"
+HELD = 200_000  # words that a task counts before it passes them on
 
-# Frequent function words of English, French, German and Spanish.
-COMMON_WORDS = """
-the of and to in a is that it for was on are as with be by at from this he or an not
-le la les de des du et un une en dans est que qui pour pas sur au aux par plus avec se ce il elle ou son
-der die das und den von zu dem mit sich des auf ist im nicht ein eine als auch es an er aus bei nach wie für über einer
-el los las y un una del por con no su para al lo como más o pero sus se es en que
-""".split()
-
-_WORD_AT = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
-N_WORDS = len(_WORD_AT) + 1  # and all others
+N_WORDS = COMMON + 1  # and all others
 N_CLASSES = 13
 _EDGE = b".,;:!?'\"()-"
-FEATURES = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, classes array<int>, common array<int>"
+FEATURES = "doc_id bigint, lang string, own int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, classes array<int>, common array<int>"
 
 
 def _class_of(c: str) -> int:
@@ -101,37 +97,106 @@ def repeated(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def describe(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the histograms of classes and common words."""
+class Words:
+    """Words as they are compared: without marks at their ends, in lower case; longer ones are none. Places: of each common word (language, place) pairs."""
+
+    def __init__(self, places: dict[str, list[tuple[int, int]]] | None = None):
+        self.places, self.plain, self.found = places or {}, {}, {}
+
+    def of(self, word: bytes) -> str | None:
+        known = self.plain.get(word, False)
+        if known is False:
+            if len(self.plain) > HELD:
+                self.plain.clear()
+            known = word.strip(_EDGE).decode().lower() or None if len(word) <= LONGEST else None
+            self.plain[word] = known
+        return known
+
+    def common(self, word: bytes) -> list[tuple[int, int]]:
+        known = self.found.get(word)
+        if known is None:
+            if len(self.found) > HELD:
+                self.found.clear()
+            known = self.found[word] = self.places.get(self.of(word), [])
+        return known
+
+
+def describe(text: str | None) -> tuple[int, int, int, int, int, list[int], Counter]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the histogram of classes and how often each word is there."""
     text = text or ""
     raw = text.encode()
     words = raw.split()
     lines = Counter(x for x in raw.split(b"\n") if x and not x.isspace())
     spaces = sum(text.count(c) for c in " \t\n\r\x0b\x0c")
     histogram = np.bincount(classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=N_CLASSES).tolist()
-    common = [0] * N_WORDS
-    met = 0
-    for word, n in Counter(words).items():
-        if len(word) <= 8:
-            at = _WORD_AT.get(word.strip(_EDGE).decode().lower().encode())
-            if at is not None:
-                common[at] += n
-                met += n
-    common[-1] = len(words) - met
-    return len(words), len(text) - spaces, sum(text.count(c) for c in SYMBOLS), sum(lines.values()) - len(lines), repeated(words), histogram, common
+    return len(words), len(text) - spaces, sum(text.count(c) for c in SYMBOLS), sum(lines.values()) - len(lines), repeated(words), histogram, Counter(words)
+
+
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """Of each language with enough documents and words its common words: the short ones that most of its documents of ``MIN_WORDS`` words or more hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sums = Words(), defaultdict(int)
+
+        def counted() -> pa.RecordBatch:
+            langs, names = zip(*sums, strict=True) if sums else ((), ())
+            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(sums.values(), pa.int64())], ["lang", "word", "n"])
+            sums.clear()
+            return out
 
-def features(docs: DataFrame) -> DataFrame:
-    """One narrow row a document."""
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                held = text.as_py().encode().split()
+                if len(held) >= MIN_WORDS:
+                    sums[lang, None] += 1
+                    sums[lang, ""] += len(held)
+                    for word in {words.of(w) for w in set(held)} - {None}:
+                        sums[lang, word] += 1
+            if len(sums) > HELD:
+                yield counted()
+        yield counted()
+
+    python_ready(docs.sparkSession)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    counts = stash(known.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "divergence-words")
+    docs_of = counts.filter("word IS NULL").select("lang", F.col("n").alias("docs")).filter(F.col("docs") >= REFERENCE_DOCS)
+    many = docs_of.join(counts.filter("word = ''").filter(F.col("n") >= REFERENCE_WORDS).select("lang"), "lang")
+    often = counts.filter("word <> ''").join(many, "lang").filter(F.col("n") >= COMMON_SHARE * F.col("docs"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    found: dict[str, list[str]] = {r["lang"]: [] for r in many.select("lang").collect()}  # a row a language with enough documents
+    for r in often.withColumn("_r", rank).filter(F.col("_r") <= COMMON).orderBy("lang", "_r").collect():  # COMMON rows each
+        found[r["lang"]].append(r["word"])
+    unstash(counts)
+    return dict(sorted(found.items()))
+
+
+def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """One narrow row a document. own: the place of its language, null if that has no reference; common: the histogram of its own language's common words, or those of all languages."""
+    own = {lang: i for i, lang in enumerate(common)}
+    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for lang, words in common.items():
+        for at, word in enumerate(words):
+            places[word].append((own[lang], at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(places)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                columns = list(zip(*map(describe, part.column("text").to_pylist()), strict=True))
-                counts = [pa.array(c, pa.int64()) for c in columns[:5]]
-                lists = [pa.array(c, pa.list_(pa.int32())) for c in columns[5:]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), *counts, *lists], [f.split()[0] for f in FEATURES.split(", ")])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = [describe(t) for t in part.column("text").to_pylist()]
+                mine = [own.get(x) for x in part.column("lang").to_pylist()]
+                histograms = []
+                for (n, *_, counts), language in zip(columns, mine, strict=True):
+                    every = np.zeros((len(own), N_WORDS), np.int32) if language is None else np.zeros((1, N_WORDS), np.int32)
+                    for word, times in counts.items():
+                        for k, place in words.common(word):
+                            if language is None or k == language:
+                                every[k if language is None else 0, place] += times
+                    every[:, -1] = n - every[:, :-1].sum(1)
+                    histograms.append(every.ravel())
+                numbers = [pa.array([c[i] for c in columns], pa.int64()) for i in range(5)]
+                lists = [pa.array([c[5] for c in columns], pa.list_(pa.int32())), pa.array(histograms, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array(mine, pa.int32()), *numbers, *lists], [f.split()[0] for f in FEATURES.split(", ")])
 
     python_ready(docs.sparkSession)
     return docs.select("doc_id", "lang", "text").mapInArrow(run, FEATURES)
@@ -141,63 +206,97 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(good: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages with enough documents and words, and their histograms of classes and of common words, a row a language."""
-    good = good.filter(F.col("lang").isNotNull() & ~base_failed())
-    frequent = good.groupBy("lang").agg(F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("docs")).filter((F.col("n") >= REFERENCE_WORDS) & (F.col("docs") >= REFERENCE_DOCS)).orderBy(F.desc("n"), "lang").limit(languages)
-    good = good.join(F.broadcast(frequent), "lang", "left_semi")
-    sums = (
-        good.select("lang", F.posexplode(F.concat("classes", "common")).alias("at", "n")).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()  # languages * bins rows at most
-    )
-    names = sorted({r["lang"] for r in sums})
-    out = np.zeros((len(names), N_CLASSES + N_WORDS))
+References = tuple[np.ndarray, np.ndarray]
+Limits = dict[int, tuple[float, float, float, float]]
+
+
+def references(good: DataFrame, languages: int) -> References:
+    """Histograms of classes and of common words of each language, over its documents that pass the base rules."""
+    counted = good.filter(F.col("own").isNotNull() & ~base_failed())
+    sums = counted.select("own", F.posexplode(F.concat("classes", "common")).alias("at", "n")).groupBy("own", "at").agg(F.sum("n").alias("n")).collect()  # languages * bins rows at most
+    out = np.zeros((languages, N_CLASSES + N_WORDS))
     for r in sums:
-        out[names.index(r["lang"]), r["at"]] = r["n"]
-    return names, out[:, :N_CLASSES], out[:, N_CLASSES:]
+        out[r["own"], r["at"]] = r["n"]
+    return out[:, :N_CLASSES], out[:, N_CLASSES:]
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distances of histograms p (rows) from histograms q (rows): rows x rows. An empty histogram is at distance 0."""
-    p = (p / np.maximum(p.sum(1, keepdims=True), 1))[:, None, :]
-    q = (q / np.maximum(q.sum(1, keepdims=True), 1))[None, :, :]
+    """Jensen-Shannon distances of histograms p from histograms q along the last axis. An empty histogram p is at distance 0."""
+    p = p / np.maximum(p.sum(-1, keepdims=True), 1)
+    q = q / np.maximum(q.sum(-1, keepdims=True), 1)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.where(p > 0, p * np.log2(p / m), 0).sum(2) + np.where(q > 0, q * np.log2(q / m), 0).sum(2)
-    return np.sqrt(np.clip(d / 2, 0, 1)) * (p.sum(2) > 0)
+        d = np.where(p > 0, p * np.log2(p / m), 0).sum(-1) + np.where(q > 0, q * np.log2(q / m), 0).sum(-1)
+    return np.sqrt(np.clip(d / 2, 0, 1)) * (p.sum(-1) > 0)
+
+
+def by_chance(n: np.ndarray) -> np.ndarray:
+    """About the distance of n words drawn from a reference to it."""
+    return np.sqrt((N_WORDS - 1) / (8 * math.log(2) * np.maximum(n, 1)))
 
 
-def verdicts(rows: DataFrame, refs: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """The rows with near, char_distance and word_distance."""
-    names, class_refs, word_refs = refs
-    place = {name: i for i, name in enumerate(names)}
+def distances(rows: DataFrame, refs: References) -> DataFrame:
+    """The rows with ref (the language whose reference they are held against), char_distance, word_distance and word_excess, what is beyond chance; all null without references."""
+    class_refs, word_refs = refs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n = part.num_rows
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n, known = part.num_rows, part.column("own").is_valid().to_numpy(zero_copy_only=False)
                 chars = np.array(part.column("classes").to_pylist(), float).reshape(n, N_CLASSES)
-                words = np.array(part.column("common").to_pylist(), float).reshape(n, N_WORDS)
-                char_d = word_d = np.zeros(n)
-                if place:
-                    by_class, by_common = distance(chars, class_refs), distance(words, word_refs)
-                    own = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()])
-                    own = np.where(own < 0, (by_class + by_common).argmin(1), own)
-                    char_d, word_d = by_class[np.arange(n), own], by_common[np.arange(n), own]
-                total = words.sum(1)
-                slack = WORD_SLACK / np.sqrt(np.maximum(total, 1))
-                by_char, by_word = chars.sum(1) >= MIN_CHARS, total >= MIN_WORDS
-                far = by_char & (char_d > CHAR_LIMIT) | by_word & (word_d > WORD_LIMIT + slack)
-                far |= by_char & by_word & (char_d > BOTH_LIMITS[0]) & (word_d > BOTH_LIMITS[1] + slack)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(~far), pa.array(char_d), pa.array(word_d)], names=[*part.schema.names, "near", "char_distance", "word_distance"])
-
-    return rows.mapInArrow(run, FEATURES + ", near boolean, char_distance double, word_distance double")
+                common = part.column("common")
+                near, char_d, word_d, excess = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+                some = np.flatnonzero(known)
+                own = near[some] = part.column("own").filter(pa.array(known)).to_numpy()
+                words = np.array(common.filter(pa.array(known)).to_pylist(), float).reshape(len(some), N_WORDS)
+                char_d[some], word_d[some] = distance(chars[some], class_refs[own]), distance(words, word_refs[own])  # row by row
+                excess[some] = word_d[some] - by_chance(words.sum(1))
+                for i in np.flatnonzero(~known) if len(class_refs) else []:
+                    words = np.array(common[i].as_py(), float).reshape(-1, N_WORDS)
+                    by_class, by_word = distance(chars[i], class_refs), distance(words, word_refs)
+                    near[i] = best = (by_class + by_word).argmin()
+                    char_d[i], word_d[i] = by_class[best], by_word[best]
+                    excess[i] = by_word[best] - by_chance(words[best].sum())
+                none = np.full(n, not len(class_refs))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near, pa.int32(), mask=none), *[pa.array(x, mask=none) for x in (char_d, word_d, excess)]], names=[*part.schema.names, "ref", "char_distance", "word_distance", "word_excess"])
+
+    return rows.mapInArrow(run, FEATURES + ", ref int, char_distance double, word_distance double, word_excess double")
+
+
+def spreads(judged: DataFrame) -> Limits:
+    """Per reference the median and the spread of its own documents' distances: of characters, then of words beyond chance."""
+    own = judged.filter(F.col("own").isNotNull() & ~base_failed())
+    middle = own.groupBy("own").agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"m_{c}") for c in ("char_distance", "word_excess")])
+    off = own.join(F.broadcast(middle), "own")  # a row a language
+    rows = off.groupBy("own").agg(*[F.first(f"m_{c}").alias(f"m_{c}") for c in ("char_distance", "word_excess")], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000).alias(f"s_{c}") for c in ("char_distance", "word_excess")]).collect()
+    return {r["own"]: (r["m_char_distance"], max(LEAST_SPREADS[0], 1.4826 * r["s_char_distance"]), r["m_word_excess"], max(LEAST_SPREADS[1], 1.4826 * r["s_word_excess"])) for r in rows}
+
+
+def near(limits: Limits) -> F.Column:
+    """Whether a row lies within the limits of its reference; without one it does."""
+    if not limits:
+        return F.lit(True)
+
+    def spread(column: str, k: int) -> F.Column:
+        middle = F.create_map(*[F.lit(x) for own, v in limits.items() for x in (own, float(v[k]))])
+        width = F.create_map(*[F.lit(x) for own, v in limits.items() for x in (own, float(v[k + 1]))])
+        return (F.col(column) - F.try_element_at(middle, F.col("ref"))) / F.try_element_at(width, F.col("ref"))
+
+    chars = F.when(F.aggregate("classes", F.lit(0), lambda a, x: a + x) >= MIN_CHARS, spread("char_distance", 0))
+    words = F.when(F.col("n_words") >= MIN_WORDS, spread("word_excess", 2))
+    far = [F.coalesce(x > limit, F.lit(False)) for x, limit in ((chars, FAR[0]), (words, FAR[1]), (chars, BOTH_FAR[0]), (words, BOTH_FAR[1]))]
+    return ~(far[0] | far[1] | (far[2] & far[3]))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance and word_distance of every row."""
-    rows = stash(features(docs), "divergence")
-    first = verdicts(rows, references(rows)).filter("near").select(*rows.columns)
-    judged = verdicts(rows, references(first))
+    common = common_words(docs)
+    rows = stash(features(docs, common), "divergence")
+    first = stash(distances(rows, references(rows, len(common))), "divergence-first")
+    kept = first.filter(near(spreads(first))).select(*rows.columns)
+    judged = stash(distances(rows, references(kept, len(common))), "divergence-judged")
+    unstash(rows, first)
+    limits = spreads(judged)
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select(*counts, base_failed().alias("base_failed"), (~base_failed() & F.col("near")).alias("kept"), "char_distance", "word_distance")
+    return judged.select(*counts, base_failed().alias("base_failed"), (~base_failed() & near(limits)).alias("kept"), "char_distance", "word_distance")

@@ -222,8 +222,8 @@ def test_rules_against_brute_force():
 
 def test_distances():
     p = np.array([[1.0, 0, 0], [0, 0, 0], [1, 1, 0]])
-    assert np.allclose(divergence.distance(p, np.array([[0, 0, 5.0]]))[:, 0], [1, 0, 1])
-    assert divergence.distance(p, p)[2, 2] == 0
+    assert np.allclose(divergence.distance(p, np.array([[0, 0, 5.0]])), [1, 0, 1])
+    assert divergence.distance(p, p).tolist() == [0, 0, 0]
 
 
 def test_rules_keep_clean_documents(spark):
@@ -231,7 +231,7 @@ def test_rules_keep_clean_documents(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = judged.filter("NOT base_failed").join(labels, "doc_id").collect()
     clean, junk = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
-    assert sum(clean) > 0.98 * len(clean) and sum(junk) < 0.2 * len(junk)
+    assert sum(clean) > 0.99 * len(clean) and sum(junk) < 0.1 * len(junk)
 
 
 def test_rules_on_odd_rows(spark):
