@@ -5,9 +5,13 @@ shares of character classes, its length, its words and whether it repeats an ear
 before and after it; a 2 x 2 matrix ties neighbours. Forward and backward passes give each line's marginal probability
 of being good, and a text's quality is their mean, weighted by the lines' bytes.
 
-Training: a document's label counts for each of its lines. At most ``PER_LABEL`` documents a label, those with the
-smallest hashes of their ids, are fetched as line features (not texts) and fitted on the driver; that bound is the only
-sample, and scoring reads every whole text once, without a shuffle.
+Training: lines have no labels, only documents have. At first a document's label stands for each of its lines. Then lines get labels of their
+own: a good document's mean marginal must reach ``MEANS[1]``, a bad one's must not exceed ``MEANS[0]``, and within that the model itself says
+which lines are good. Where the mean is off, one number added to all lines of the document brings it there; the marginals of lines and of
+neighbouring pairs under that are what the next steps learn (posterior regularisation). So ties learn how labels change inside documents.
+
+At most ``PER_LABEL`` documents a label of at most ``LINES`` lines, those with the smallest hashes of their ids, are fetched as line features (not texts)
+and fitted on the driver; these bounds are the only sample, and scoring reads every whole text once, without a shuffle.
 
 Cases: a null or empty text is one empty line; rows without a label, or with one that isn't 0 or 1, don't train; several
 labels of a document each count; without labels of both kinds every score is 0.5; repeated rows score alike; an empty
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from .shared import fold_of, python_ready, text_runs
 
 PER_LABEL = 600
+LINES = 400
+MEANS = (0.02, 0.98)  # of bad documents at most, of good ones at least
+WARM = 200  # rounds in which lines have their document's label
 THRESHOLD = 0.3
 ROUNDS = 250
 
@@ -136,8 +143,28 @@ class Model:
         return np.clip(np.add.reduceat(good, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1) if len(first) > 1 else np.zeros(0)
 
 
-def train(x: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-3) -> Model:
-    """Fit by gradient ascent on the mean log likelihood of a line, each document counting once."""
+def mean_marginals(scores: np.ndarray, first: np.ndarray, tie: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each document's mean marginal, weighted by its lines' bytes."""
+    ahead, behind = chains(scores, first, tie)
+    return np.add.reduceat(sigmoid(ahead + behind) * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+
+
+def tilts(scores: np.ndarray, first: np.ndarray, tie: np.ndarray, weight: np.ndarray, labels: np.ndarray, steps: int = 10) -> np.ndarray:
+    """For each document what its lines' scores need so that its mean marginal is on its label's side of ``MEANS``; 0 if it is."""
+    lens = np.diff(first)
+    now = mean_marginals(scores, first, tie, weight)
+    off = np.where(labels == 1, now < MEANS[1], now > MEANS[0])
+    low, high = np.where(labels == 1, 0.0, -16.0), np.where(labels == 1, 16.0, 0.0)
+    goal = np.where(labels == 1, MEANS[1], MEANS[0])
+    for _ in range(steps):
+        middle = (low + high) / 2
+        under = mean_marginals(scores + np.repeat(middle, lens), first, tie, weight) < goal
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return np.where(off, (low + high) / 2, 0)
+
+
+def train(x: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-3, tied: bool = True) -> Model:
+    """Fit by gradient ascent on the mean log likelihood of a line, each document counting once. ``tied``: whether neighbours are tied, for comparison."""
     lens = np.diff(first)
     y = np.repeat(labels, lens).astype(np.float64)
     share = np.repeat(1 / (np.maximum(lens, 1) * len(lens)), lens)
@@ -145,24 +172,36 @@ def train(x: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = RO
     mean[-1], scale[scale < 1e-6] = 0, 1
     z = (x - mean) / scale
     theta = np.zeros(z.shape[1] + 4)
-    theta[-4:] = [0.5, 0, 0, 0.5]
+    theta[-4:] = [0.5, 0, 0, 0.5] if tied else 0
     inner = np.ones(len(y), bool)
     inner[first[:-1]] = False
     now = np.flatnonzero(inner)
-    seen = (2 * y[now - 1] + y[now]).astype(np.int64)
-    moment, square = np.zeros_like(theta), np.zeros_like(theta)
-    for k in range(1, rounds + 1):
-        tie = theta[-4:].reshape(2, 2)
-        s = z @ theta[:-4]
+    sure = np.zeros((4, len(now)))
+    sure[(2 * y[now - 1] + y[now]).astype(np.int64), np.arange(len(now))] = 1
+
+    def expected(s: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of lines and of pairs of neighbours."""
         ahead, behind = chains(s, first, tie)
-        grad = np.zeros_like(theta)
-        grad[:-4] = z.T @ (share * (y - sigmoid(ahead + behind)))
         a, c = ahead[now - 1], s[now] + behind[now]
         pair = np.stack([np.full_like(a, tie[0, 0]), tie[0, 1] + c, a + tie[1, 0], a + tie[1, 1] + c])
         pair = np.exp(pair - pair.max(0))
-        pair /= pair.sum(0)
-        for j in range(4):
-            grad[-4 + j] = (share[now] * ((seen == j) - pair[j])).sum()
+        return sigmoid(ahead + behind), pair / pair.sum(0)
+
+    moment, square, tilt = np.zeros_like(theta), np.zeros_like(theta), None
+    for k in range(1, rounds + 1):
+        tie = theta[-4:].reshape(2, 2)
+        s = z @ theta[:-4]
+        line, pair = expected(s, tie)
+        if k <= WARM:
+            wanted, wanted_pair = y, sure
+        else:
+            if tilt is None or k % 10 == 0:
+                tilt = np.repeat(tilts(s, first, tie, weight, labels), lens)
+            wanted, wanted_pair = expected(s + tilt, tie)
+        grad = np.zeros_like(theta)
+        grad[:-4] = z.T @ (share * (wanted - line))
+        if tied:
+            grad[-4:] = ((wanted_pair - pair) * share[now]).sum(1)
         grad -= decay * theta
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
@@ -175,25 +214,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     known = labels.select("doc_id", "quality").filter("quality IN (0, 1)").filter(fold_of(F.col("doc_id"), 5) != 0)
     parts = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * per_label rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < LINES).select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             quality = batch.column("quality").to_pylist()
             for at, end, data, offsets in text_runs(batch.column("text"), 1 << 20):
-                x, first, _ = lines_of(data, offsets)
+                x, first, lens = lines_of(data, offsets)
                 packed = [x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(end - at)]
-                yield pa.RecordBatch.from_arrays([pa.array(quality[at:end], pa.int32()), pa.array(packed, pa.binary())], ["quality", "lines"])
+                sizes = [lens[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(end - at)]
+                yield pa.RecordBatch.from_arrays([pa.array(quality[at:end], pa.int32()), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], ["quality", "lines", "bytes"])
 
     python_ready(docs.sparkSession)
-    rows = texts.mapInArrow(run, "quality int, lines binary").collect()
+    rows = texts.mapInArrow(run, "quality int, lines binary, bytes binary").collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["lines"])))  # the fit doesn't depend on the order of tasks
     marks = np.array([r["quality"] for r in rows])
     if len(set(marks.tolist())) < 2:
         return None
     blocks = [np.frombuffer(r["lines"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
-    return train(np.vstack(blocks), first, marks)
+    weight = np.maximum(np.concatenate([np.frombuffer(r["bytes"], np.float32) for r in rows]), 1).astype(np.float64)
+    return train(np.vstack(blocks), first, marks, weight)
 
 
 def _scored(model: Model | None, texts: pa.Array) -> np.ndarray:
@@ -217,6 +258,23 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def label_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, line (from 0), n_bytes, marginal (of being good) and good of every line of every row."""
+    model = fit(docs, labels)
+    names = ["doc_id", "line", "n_bytes", "marginal", "good"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            for at, _, data, offsets in text_runs(batch.column("text")):
+                x, first, lens = lines_of(data, offsets)
+                good = np.full(len(lens), 0.5) if model is None else model.line_marginals(x, first)
+                of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + of)), pa.array(np.arange(len(lens)) - first[of]), pa.array(lens), pa.array(good), pa.array(good >= 0.5)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, line bigint, n_bytes bigint, marginal double, good boolean")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose quality reaches the threshold."""
     model, column = fit(docs, labels), docs.columns.index("text")
