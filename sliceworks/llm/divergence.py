@@ -45,6 +45,7 @@ LEAST_SPREADS = (0.004, 0.01)
 REFERENCE_DOCS, REFERENCE_WORDS = 20, 5000
 SYMBOLS = "#*$%&|<>"
 HELD = 200_000  # words that a task counts before it passes them on
+BROADCAST_LANGUAGES = 100_000
 
 N_WORDS = COMMON + 1  # and all others
 N_CLASSES = 13
@@ -97,28 +98,28 @@ def repeated(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-class Words:
-    """Words as they are compared: without marks at their ends, in lower case; longer ones are none. Places: of each common word (language, place) pairs."""
+class Plain(dict):
+    """Of a word the form that is compared: without marks at its ends, in lower case; None for longer ones. Forms are kept, ``HELD`` at most."""
 
-    def __init__(self, places: dict[str, list[tuple[int, int]]] | None = None):
-        self.places, self.plain, self.found = places or {}, {}, {}
+    def __missing__(self, word: bytes) -> str | None:
+        if len(self) > HELD:
+            self.clear()
+        found = self[word] = word.strip(_EDGE).decode().lower() or None if len(word) <= LONGEST else None
+        return found
 
-    def of(self, word: bytes) -> str | None:
-        known = self.plain.get(word, False)
-        if known is False:
-            if len(self.plain) > HELD:
-                self.plain.clear()
-            known = word.strip(_EDGE).decode().lower() or None if len(word) <= LONGEST else None
-            self.plain[word] = known
-        return known
 
-    def common(self, word: bytes) -> list[tuple[int, int]]:
-        known = self.found.get(word)
-        if known is None:
-            if len(self.found) > HELD:
-                self.found.clear()
-            known = self.found[word] = self.places.get(self.of(word), [])
-        return known
+class Places(dict):
+    """Of a word the (language, place) pairs at which its form is a common word; kept likewise."""
+
+    def __init__(self, of_form: dict[str, list[tuple[int, int]]]):
+        super().__init__()
+        self.of_form, self.plain = of_form, Plain()
+
+    def __missing__(self, word: bytes) -> list[tuple[int, int]]:
+        if len(self) > HELD:
+            self.clear()
+        found = self[word] = self.of_form.get(self.plain[word], [])
+        return found
 
 
 def describe(text: str | None) -> tuple[int, int, int, int, int, list[int], Counter]:
@@ -136,34 +137,39 @@ def common_words(docs: DataFrame) -> dict[str, list[str]]:
     """Of each language with enough documents and words its common words: the short ones that most of its documents of ``MIN_WORDS`` words or more hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), defaultdict(int)
+        plain, sums = Plain(), defaultdict(Counter)
 
         def counted() -> pa.RecordBatch:
-            langs, names = zip(*sums, strict=True) if sums else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(sums.values(), pa.int64())], ["lang", "word", "n"])
+            langs, words, numbers = [], [], []
+            for lang, counts in sums.items():
+                langs += [lang] * len(counts)
+                words += counts
+                numbers += counts.values()
             sums.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(numbers, pa.int64())], ["lang", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 held = text.as_py().encode().split()
                 if len(held) >= MIN_WORDS:
-                    sums[lang, None] += 1
-                    sums[lang, ""] += len(held)
-                    for word in {words.of(w) for w in set(held)} - {None}:
-                        sums[lang, word] += 1
-            if len(sums) > HELD:
+                    forms = set(map(plain.__getitem__, set(held)))
+                    forms.add(None)  # counts documents
+                    sums[lang].update(forms)
+                    sums[lang][""] += len(held)
+            if sum(map(len, sums.values())) > HELD:
                 yield counted()
         yield counted()
 
     python_ready(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = stash(known.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "divergence-words")
-    docs_of = counts.filter("word IS NULL").select("lang", F.col("n").alias("docs")).filter(F.col("docs") >= REFERENCE_DOCS)
-    many = docs_of.join(counts.filter("word = ''").filter(F.col("n") >= REFERENCE_WORDS).select("lang"), "lang")
+    totals = counts.filter("word IS NULL OR word = ''").groupBy("lang").agg(F.max(F.when(F.col("word").isNull(), F.col("n"))).alias("docs"), F.max(F.when(F.col("word") == "", F.col("n"))).alias("words"))
+    many = stash(totals.filter((F.col("docs") >= REFERENCE_DOCS) & (F.col("words") >= REFERENCE_WORDS)).select("lang", "docs"), "divergence-languages")
+    rows = many.select("lang").collect()  # a row a language with enough documents
+    many = F.broadcast(many) if len(rows) <= BROADCAST_LANGUAGES else many
     often = counts.filter("word <> ''").join(many, "lang").filter(F.col("n") >= COMMON_SHARE * F.col("docs"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    found: dict[str, list[str]] = {r["lang"]: [] for r in many.select("lang").collect()}  # a row a language with enough documents
+    found: dict[str, list[str]] = {r["lang"]: [] for r in rows}
     for r in often.withColumn("_r", rank).filter(F.col("_r") <= COMMON).orderBy("lang", "_r").collect():  # COMMON rows each
         found[r["lang"]].append(r["word"])
     unstash(counts)
@@ -179,7 +185,7 @@ def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
             places[word].append((own[lang], at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(places)
+        places_of = Places(places)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -189,7 +195,7 @@ def features(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
                 for (n, *_, counts), language in zip(columns, mine, strict=True):
                     every = np.zeros((len(own), N_WORDS), np.int32) if language is None else np.zeros((1, N_WORDS), np.int32)
                     for word, times in counts.items():
-                        for k, place in words.common(word):
+                        for k, place in places_of[word]:
                             if language is None or k == language:
                                 every[k if language is None else 0, place] += times
                     every[:, -1] = n - every[:, :-1].sum(1)
