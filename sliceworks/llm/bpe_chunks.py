@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from .shared import python_ready, text_runs
 
+RUN = 2 << 20  # bytes of text that are encoded at once
 MASK_BITS = 10  # a cut every 1024 bytes on average
 WINDOW = 16
 WORDS_KEPT = 250_000
@@ -152,7 +153,7 @@ def codec_of(path: str) -> Codec:
 
 def encoded(codec: Codec, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows: the first row's place, and the ids of each."""
-    for first, _, data, offsets in text_runs(column):
+    for first, _, data, offsets in text_runs(column, RUN):
         base = int(offsets[0])
         block = data[base : int(offsets[-1])]
         places = cuts(block) + base
