@@ -1,8 +1,12 @@
 """A corpus pipeline: quality classifier, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of ``documents``; the last returns each row's ids and digests. What is planned between them goes through
+columns of ``documents``, and others that its input has; the last returns each row's ids and digests. What is planned between them goes through
 written tables in the shared folder.
+
+Cases: an empty table passes through all stages. A null text is an empty one: it is scored as one empty line, is no one's copy, holds no personal data,
+and has no tokens; its row stays null until it is encoded. Rows with a null or repeated id are told apart by their texts. A null source is a source of its
+own. A source without words has rate 0, so its documents go in the mixture.
 """
 
 from __future__ import annotations
