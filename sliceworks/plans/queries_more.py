@@ -15,7 +15,7 @@ from ..operators import namespace as N
 from ..operators import placement as P
 from .fixtures import driver_table
 from .fixtures import relation as R
-from .registry import ESTIMATE, FREE, SLICE_SIZE, WRITABLE, query
+from .registry import CATEGORY, ESTIMATE, FREE, SLICE_SIZE, WRITABLE, query
 
 
 @query("src_01_02_04_scans", "select object_id from objects where object_id = 7 union all select volume_id from volumes")
@@ -111,11 +111,15 @@ def sca_01(spark: SparkSession, sf: str) -> DataFrame:
     return R(spark, sf, "objects").select("object_id", S.slice_size(*args).alias("bytes"), S.slice_size(*args, F.when(F.col("object_id") % 2 == 0, F.lit(77).cast("bigint"))).alias("declared"))
 
 
-@query("sca_10_legacy_categories", "select event_id, case event_id % 4 when 0 then 'stored' when 1 then 'checksum' when 2 then 'io' else 'timeout' end as category from {events}")
+@query(
+    "sca_10_legacy_categories",
+    f"select object_id, slice_index, coalesce(case when verified_at is null then slice_type end, case when volume_id % 7 = 0 then 'checksum' end, {CATEGORY}) as category from slices where error_code is not null",
+)
 def sca_10(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    category = S.legacy_category(F.when(k == 0, "stored"), k == 1, F.when(k == 2, "EIO"), F.lit("it timed out"))
-    return driver_table(spark, sf, "events").select("event_id", category.alias("category"))
+    """A category that is stored (here: of slices never verified, their type) goes before the flag, and the flag before the code."""
+    flagged = R(spark, sf, "slices").filter("error_code IS NOT NULL")
+    category = S.legacy_category(F.when(F.col("verified_at").isNull(), F.col("slice_type")), F.col("volume_id") % 7 == 0, F.col("error_code"), F.lit(None).cast("string"))
+    return flagged.select("object_id", "slice_index", category.alias("category"))
 
 
 @query("sca_14_made_ids", "select event_id, substr(md5(cast(event_id as string) || '|' || event_type), 1, 24) as id from {events}")
@@ -124,10 +128,13 @@ def sca_14(spark: SparkSession, sf: str) -> DataFrame:
     return driver_table(spark, sf, "events").select("event_id", S.make_id(F.col("event_id"), F.col("event_type")).alias("id"))
 
 
-@query("sca_43_dates", "select event_id, case when event_id % 2 = 0 then timestamp '2020-02-03 04:05:06' end as at_time from {events}")
+_WRITTEN_DATE = "cast(1990 + event_id % 40 as string) || '-' || lpad(cast(1 + event_id % 14 as string), 2, '0') || '-' || lpad(cast(1 + event_id % 33 as string), 2, '0')"
+
+
+@query("sca_43_dates", f"select event_id, try_cast({_WRITTEN_DATE} as timestamp) as at_time from {{events}}")
 def sca_43(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("event_id") % 2 == 0, "2020-02-03 04:05:06").otherwise("not a date")
-    return driver_table(spark, sf, "events").select("event_id", F.try_to_timestamp(text).cast("timestamp_ntz").alias("at_time"))
+    """Written dates, some in months or on days that there are not: those are null."""
+    return driver_table(spark, sf, "events").select("event_id", F.try_to_timestamp(F.expr(_WRITTEN_DATE)).cast("timestamp_ntz").alias("at_time"))
 
 
 @query(

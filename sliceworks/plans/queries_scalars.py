@@ -125,15 +125,21 @@ def src_23(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "src_08_headers",
-    "select object_id, h as header_id, size, cast(4 as bigint) as data_n, cast(16384 as bigint) as chunk, true as sum_ok from (select object_id, substr(md5(cast(object_id as string)), 1, 24) as h, coalesce(size, 0) as size from objects) o",
+    """select object_id, slice_index, case when status <> 'absent' then substr(md5(cast(object_id as string)), 1, 24) end as header_id, case status when 'absent' then null when 'corrupt' then h_size + 1 else h_size end as size,
+      case when status <> 'absent' then cast(h_data_n as bigint) end as data_n, case when status <> 'absent' then cast(h_parity_n as bigint) end as parity_n, case when status <> 'absent' then cast(h_chunk as bigint) end as chunk,
+      case status when 'absent' then null when 'corrupt' then false else true end as sum_ok from headers""",
 )
 def src_08(spark: SparkSession, sf: str) -> DataFrame:
-    """Headers packed by expressions, then decoded by the reader's."""
-    size = F.coalesce("size", F.lit(0))
-    le = lambda c, width: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(width)]))
-    body = F.concat(F.unhex(S.make_id(F.col("object_id"))), le(size.cast("bigint"), 5), F.unhex(F.lit("0402")), F.unhex(F.lit("004000")), F.unhex(F.lit("00")), F.unhex(F.lit("000000")))
-    raw = F.concat(F.lit("SLICE01").cast("binary"), F.unhex(F.md5(body)), body)
-    return R(spark, sf, "objects").select("object_id", T.decode_header(raw).alias("h")).select("object_id", F.col("h.object_id").alias("header_id"), "h.size", "h.data_n", "h.chunk", "h.sum_ok")
+    """Every slice's header packed by expressions, then decoded by the reader's; corrupt ones got another size after they were summed, absent ones end after 20 bytes."""
+    le = lambda c, width: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("bigint"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(width)]))
+    body = lambda size: F.concat(F.unhex(S.make_id(F.col("object_id"))), le(size, 5), le(F.col("h_data_n"), 1), le(F.col("h_parity_n"), 1), le(F.col("h_chunk"), 3), le(F.col("slice_index"), 1), F.unhex(F.lit("000000")))
+    corrupt = F.col("status") == "corrupt"
+    raw = F.concat(F.lit("SLICE01").cast("binary"), F.unhex(F.md5(body(F.col("h_size")))), body(F.col("h_size") + corrupt.cast("bigint")))
+    header = T.decode_header(F.when(F.col("status") == "absent", F.substring(raw, 1, 20)).otherwise(raw))
+    whole = lambda name: F.when(F.col("h.long_enough"), F.col(f"h.{name}"))
+    decoded = R(spark, sf, "headers").select("object_id", "slice_index", header.alias("h"))
+    numbers = [whole(c).cast("bigint").alias(c) for c in ("size", "data_n", "parity_n", "chunk")]
+    return decoded.select("object_id", "slice_index", whole("object_id").alias("header_id"), *numbers, "h.sum_ok")
 
 
 @query("src_13_longest_copies", "select segment, cast(arg_max(replica, len) as int) as replica, cast(max(len) as int) as length, true as consistent from (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as segment, r as replica, length(regexp_replace(text, '[^ -~]', '', 'g')) // r as len from {conversations}, (select unnest([1, 2, 3]) as r) g) x group by segment")
@@ -248,10 +254,16 @@ def sca_42(spark: SparkSession, sf: str) -> DataFrame:
     return held.select("object_id", F.explode(merged).alias("k", "code")).select("object_id", F.col("k").cast("int").alias("slice_index"), "code")
 
 
-@query("sca_47_partitions", "select volume_id, case volume_id % 5 when 0 then 'luks' when 1 then 'ext' when 2 then 'blank' when 3 then 'unreadable' else 'other' end as kind from volumes")
+_SIGNATURE = "case volume_id % 9 when 0 then 'crypto_LUKS' when 1 then 'ext4' when 2 then '' when 3 then null when 4 then 'ntfs' when 5 then 'LUKS2' when 6 then 'EXT3' when 7 then 'next4' else 'xfs' end"
+
+
+@query(
+    "sca_47_partitions",
+    f"""select volume_id, case when s is null then 'unreadable' when length(s) = 0 then 'blank' when regexp_matches(s, '(?i)luks') then 'luks' when regexp_matches(s, '(?i)^ext') then 'ext' else 'other' end as kind
+      from (select volume_id, {_SIGNATURE} as s from volumes) v""",
+)
 def sca_47(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("volume_id") % 5
-    return R(spark, sf, "volumes").select("volume_id", S.partition_kind(F.when(k == 0, "crypto_LUKS").when(k == 1, "ext4").when(k == 2, "").when(k == 4, "ntfs")).alias("kind"))
+    return R(spark, sf, "volumes").select("volume_id", S.partition_kind(F.expr(_SIGNATURE)).alias("kind"))
 
 
 @query("sca_50_attention", f"select volume_id, case when deleted then 'deleted' when not started then 'stopped' when not healthy then 'unhealthy' when {FREE} < 100000000 then 'full' when verify_errors > 3 then 'errors' end as reason from volumes")

@@ -221,10 +221,16 @@ def src_19(spark: SparkSession, sf: str) -> DataFrame:
     return T.delete_rows(objects, objects.filter("object_id % 4 = 0"), "object_id").select("object_id")
 
 
-@query("upd_02_verification_state", "select object_id, case when object_id % 3 = 0 then timestamp '2031-01-01 00:00:00' when object_id % 3 = 1 then null else last_verified_at end as verified from objects")
+@query(
+    "upd_02_verification_state",
+    """select o.object_id, case when bad then null when not open then seen else last_verified_at end as verified from objects o
+      left join (select object_id, bool_or(error_code is not null) as bad, bool_or(verified_at is null) as open, min(verified_at) as seen from slices group by object_id) s on o.object_id = s.object_id""",
+)
 def upd_02(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("object_id") % 3
-    return R(spark, sf, "objects").select("object_id", F.when(k == 0, F.lit("2031-01-01 00:00:00").cast("timestamp_ntz")).when(k == 1, None).otherwise(F.col("last_verified_at")).alias("verified"))
+    """An object's time is unset if a slice of it has an error, set to its oldest slice's if all were verified, and else left."""
+    seen = R(spark, sf, "slices").groupBy("object_id").agg(F.bool_or(F.col("error_code").isNotNull()).alias("bad"), F.bool_or(F.col("verified_at").isNull()).alias("open"), F.min("verified_at").alias("seen"))
+    verified = F.when(F.col("bad"), None).when(~F.col("open"), F.col("seen")).otherwise(F.col("last_verified_at"))
+    return R(spark, sf, "objects").join(seen, "object_id", "left").select("object_id", verified.alias("verified"))
 
 
 @query("upd_04_volume_flags", "select volume_id, case when volume_id % 2 = 0 then false else healthy end as healthy, volume_id % 2 = 0 and healthy as stamped from volumes")
